@@ -55,7 +55,7 @@ TIMESTAMP_FORMATS = (
     "yyyy/MM/dd HH:mm:ss",
     "dd/MM/yyyy HH:mm:ss",
     "dd-MMM-yyyy HH:mm:ss",
-    "EEE, dd MMM yyyy HH:mm:ss",
+    "dd MMM yyyy HH:mm:ss",
     "yyyyMMddHHmmss",
     "yyyy-MM-dd",
     "yyyyMMdd",
@@ -65,11 +65,12 @@ TIMESTAMP_FORMATS = (
 def parse_any_timestamp(text: str | Column) -> Column:
     """Best-effort reading of free-form time text; NULL when nothing fits.
 
-    Ten- and thirteen-digit numbers are epoch seconds and milliseconds.
+    Ten- and thirteen-digit numbers are epoch seconds and milliseconds. A
+    leading weekday and a trailing GMT or UTC are skipped.
     """
-    value = F.trim(col(text))
+    value = F.regexp_replace(F.trim(col(text)), r"^[A-Za-z]{3}, | (GMT|UTC)$", "")
     epoch = (
-        F.when(value.rlike(r"^\d{10}$"), F.timestamp_seconds(F.expr("0L") + value.try_cast("bigint")))
+        F.when(value.rlike(r"^\d{10}$"), F.timestamp_seconds(value.try_cast("bigint")))
         .when(value.rlike(r"^\d{13}$"), F.timestamp_millis(value.try_cast("bigint")))
     )
     formats = [F.try_to_timestamp(value, F.lit(fmt)) for fmt in TIMESTAMP_FORMATS]

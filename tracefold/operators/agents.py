@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from tracefold.operators.merge import latest_by_version
 
-AGENT = ("team_id", "agent_id")
-TOOL = ("team_id", "tool_id")
-PERMISSION = ("team_id", "agent_id", "tool_id")
-DEPENDENCY = ("team_id", "source_agent_id", "target_type", "target_id")
+AGENT = ["team_id", "agent_id"]
+TOOL = ["team_id", "tool_id"]
+PERMISSION = ["team_id", "agent_id", "tool_id"]
+DEPENDENCY = ["team_id", "source_agent_id", "target_type", "target_id"]
 
 _PARENT = ["team_id", "trace_id", "parent_id"]
 

@@ -17,7 +17,7 @@ from tracefold.functions.numbers import or_zero, percent, ratio
 from tracefold.functions.timeparts import date_of
 from tracefold.operators.rollup import Rollup, sum_counters
 
-DAY = ("APP_ID", "EVENT_DATE")
+DAY = ["APP_ID", "EVENT_DATE"]
 
 
 def messages(traces_processed: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def _flag(condition: str) -> tuple[str, str]:
 
 USAGE_DAYS = Rollup(
     "usage_days",
-    DAY,
+    (*DAY,),
     {
         "n": ("count", "1"),
         "min_start": ("min", "START_TIMESTAMP"),
@@ -104,7 +104,7 @@ CHANNEL_SESSIONS = _sessions_by("channel_sessions", "CHANNEL_ID", "CHANNEL_ID is
 # sketch's relative error (about 1.6 % at the default size), one row per day.
 APPROX_DAYS = Rollup(
     "approx_days",
-    DAY,
+    (*DAY,),
     {
         "messages": ("approx_distinct", "INTERACTION_ID"),
         "conversations": ("approx_distinct", "CONVERSATION_ID"),

@@ -70,7 +70,7 @@ def ingest_traces(spark, sf_dir):
 @query
 def ingest_traces_processed(spark, sf_dir):
     rows = derive.select(derive.read(spark, sf_dir, "events"), derive.TRACES_PROCESSED)
-    return records.ingest_traces_processed(derive.records(rows, ("USER", "SENTIMENT_PROMPT", "NUM")))
+    return records.ingest_traces_processed(derive.records(rows, ("USER", "FEEDBACK", "NUM", "TOKENS")))
 
 
 @query

@@ -337,7 +337,7 @@ _GPT = _derived("g", derive.GPT_USAGE, "orders")
 _TRACES = _derived("t", {c.lower(): derive.TRACES_PROCESSED[c] for c in derive.TRACE_COLUMNS}, "events")
 _TESTS = _derived("t", {**derive.TESTS, "status": "o_orderstatus"}, "orders")
 _SURVIVING = (
-    "select id, scenarioId, targetId, type, at, 1 as sign, case when status = 'P' then 2 else 1 end as ver"
+    "select id, scenarioId, targetId, type, \"at\", 1 as sign, case when status = 'P' then 2 else 1 end as ver"
     " from t where status <> 'F'"
 )
 

@@ -10,6 +10,8 @@ from pyspark.sql import SparkSession
 # Day and hour columns are calendar UTC, so the session must be too.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
+    # A document that repeats a key keeps its last value instead of being lost.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 BUILD_CONF = {
