@@ -39,56 +39,72 @@ def num_tokens(text: Column) -> Column:
     return F.ceil(F.char_length(text) / F.lit(4)).cast("int")
 
 
-def readability(text: Column) -> Column:
+def readability(text: Column, words: Column) -> Column:
     """Flesch reading ease; 0 for text without words."""
-    words = num_words(text)
     sentences = F.greatest(F.regexp_count(text, F.lit(r"[.!?]+")), F.lit(1))
-    syllables = F.regexp_count(text, F.lit(r"(?i)[aeiouy]+"))
+    syllables = F.regexp_count(text, F.lit(r"[aeiouyAEIOUY]+"))
     score = F.lit(206.835) - F.lit(1.015) * ratio(words, sentences) - F.lit(84.6) * ratio(syllables, words)
     return F.coalesce(score, F.lit(0.0))
 
 
-def _occurrences(text: Column, words: tuple[str, ...]) -> Column:
-    return F.regexp_count(text, F.lit(rf"(?i)\b({'|'.join(words)})\b"))
+_LISTS = {**FUNCTION_WORDS, "positive": POSITIVE_WORDS, "negative": NEGATIVE_WORDS}
 
 
-def language(text: Column) -> Column:
+# Characters that end a word besides the space.
+_BREAKS = ".,;:!?()[]{}<>\"'/\\|\t\n\r"
+
+
+def listed_words(text: Column) -> Column:
+    """The text's words that are on any list, in one pass over the text."""
+    every = sorted({word for words in _LISTS.values() for word in words})
+    spaced = F.translate(F.lower(text), _BREAKS, " " * len(_BREAKS))
+    return F.filter(F.split(spaced, " "), lambda word: word.isin(*every))
+
+
+def word_counts(hits: Column) -> Column:
+    """Listed words per language and polarity."""
+
+    def counted(words: tuple[str, ...]) -> Column:
+        return F.size(F.filter(hits, lambda word: word.isin(*words)))
+
+    return F.struct(*[counted(words).alias(name) for name, words in _LISTS.items()])
+
+
+def language(counts: Column) -> Column:
     """Language with most function words; '' when there are none."""
-    scores = [F.struct(_occurrences(text, words).alias("n"), F.lit(code).alias("code"))
-              for code, words in FUNCTION_WORDS.items()]
-    best = F.greatest(*scores)
+    best = F.greatest(*[F.struct(counts[code].alias("n"), F.lit(code).alias("code")) for code in FUNCTION_WORDS])
     return F.when(best["n"] > 0, best["code"]).otherwise("")
 
 
-def _polarity(text: Column) -> tuple[Column, Column]:
-    positive, negative = _occurrences(text, POSITIVE_WORDS), _occurrences(text, NEGATIVE_WORDS)
+def sentiment(counts: Column) -> dict[str, Column]:
+    """Label and scores by column suffix: shares of the polar words."""
+    positive, negative = counts["positive"], counts["negative"]
     total = positive + negative
-    return F.coalesce(ratio(positive, total), F.lit(0.0)), F.coalesce(ratio(negative, total), F.lit(0.0))
-
-
-def _sentiment(text: Column) -> dict[str, Column]:
-    positive, negative = _polarity(text)
+    share = lambda part: F.coalesce(ratio(part, total), F.lit(0.0))
     return {
         "": F.when(positive > negative, "positive").when(negative > positive, "negative").otherwise("neutral"),
-        "_POSITIVE": positive,
-        "_NEGATIVE": negative,
-        "_NEUTRAL": F.lit(1.0) - positive - negative,
+        "_POSITIVE": share(positive),
+        "_NEGATIVE": share(negative),
+        "_NEUTRAL": F.when(total == 0, 1.0).otherwise(0.0),
     }
 
 
-def default_kpis(prompt: Column, response: Column) -> dict[str, Column]:
+def default_kpis() -> dict[str, Column]:
+    """Columns over `input`, `output` and the staged counts of both."""
+    prompt, response = F.col("input"), F.col("output")
+    words = F.col("_words")
     kpis = {
         "OUTPUT_CLASSIFIERS": F.lit(""),
         "TOKENS_SPENT_PROMPT": num_tokens(prompt),
         "TOKENS_SPENT_RESPONSE": num_tokens(response),
-        "READABILITY_RESPONSE": readability(response),
+        "READABILITY_RESPONSE": readability(response, words),
         "NUM_WORDS_PROMPT": num_words(prompt),
-        "NUM_WORDS_RESPONSE": num_words(response),
-        "LANG_PROMPT": language(prompt),
-        "LANG_RESPONSE": language(response),
+        "NUM_WORDS_RESPONSE": words,
     }
-    for side, text in (("PROMPT", prompt), ("RESPONSE", response)):
-        kpis |= {f"SENTIMENT_{side}{suffix}": value for suffix, value in _sentiment(text).items()}
+    for side in ("PROMPT", "RESPONSE"):
+        counts = F.col(f"_{side}")
+        kpis[f"LANG_{side}"] = language(counts)
+        kpis |= {f"SENTIMENT_{side}{suffix}": value for suffix, value in sentiment(counts).items()}
     return kpis
 
 
@@ -97,8 +113,15 @@ def enrich_traces(traces: DataFrame, kpis: dict[str, Kpi] | None = None) -> Data
 
     `kpis` replaces single columns: name -> function of (prompt, response).
     """
-    prompt, response = F.col("input"), F.col("output")
-    columns = default_kpis(prompt, response)
-    columns |= {name: make(prompt, response) for name, make in (kpis or {}).items()}
+    columns = default_kpis()
+    columns |= {name: make(F.col("input"), F.col("output")) for name, make in (kpis or {}).items()}
+    staged = traces.withColumns({
+        "_words": num_words(F.col("output")),
+        "_prompt_hits": listed_words(F.col("input")),
+        "_response_hits": listed_words(F.col("output")),
+    }).withColumns({
+        "_PROMPT": word_counts(F.col("_prompt_hits")),
+        "_RESPONSE": word_counts(F.col("_response_hits")),
+    })
     base = [F.col(name).alias(name.upper()) for name in traces.columns]
-    return traces.select(*base, *[value.alias(name) for name, value in columns.items()])
+    return staged.select(*base, *[value.alias(name) for name, value in columns.items()])

@@ -42,36 +42,32 @@ def _moment(as_of: str | Column) -> Column:
     return F.lit(as_of).cast("timestamp") if isinstance(as_of, str) else as_of
 
 
-# Spellings of the time stamps browser extensions send, most specific first.
-# Fixed values.
-TIMESTAMP_FORMATS = (
-    "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
-    "yyyy-MM-dd'T'HH:mm:ss.SSSXXX",
-    "yyyy-MM-dd'T'HH:mm:ssXXX",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm:ss.SSS",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd HH:mm",
-    "yyyy/MM/dd HH:mm:ss",
-    "dd/MM/yyyy HH:mm:ss",
-    "dd-MMM-yyyy HH:mm:ss",
-    "dd MMM yyyy HH:mm:ss",
-    "yyyyMMddHHmmss",
-    "yyyy-MM-dd",
-    "yyyyMMdd",
+# Spellings that are not ISO 8601: shape of the text and its pattern. Fixed values.
+OTHER_TIMESTAMPS = (
+    (r"^\d{4}/\d\d/\d\d \d\d:\d\d:\d\d$", "yyyy/MM/dd HH:mm:ss"),
+    (r"^\d\d/\d\d/\d{4} \d\d:\d\d:\d\d$", "dd/MM/yyyy HH:mm:ss"),
+    (r"^\d\d/\d\d/\d{4}$", "dd/MM/yyyy"),
+    (r"^\d\d-[A-Za-z]{3}-\d{4} \d\d:\d\d:\d\d$", "dd-MMM-yyyy HH:mm:ss"),
+    (r"^\d\d [A-Za-z]{3} \d{4} \d\d:\d\d:\d\d$", "dd MMM yyyy HH:mm:ss"),
+    (r"^\d{14}$", "yyyyMMddHHmmss"),
+    (r"^\d{8}$", "yyyyMMdd"),
 )
 
 
 def parse_any_timestamp(text: str | Column) -> Column:
     """Best-effort reading of free-form time text; NULL when nothing fits.
 
-    Ten- and thirteen-digit numbers are epoch seconds and milliseconds. A
-    leading weekday and a trailing GMT or UTC are skipped.
+    ISO 8601 dates and times, ten- and thirteen-digit epoch numbers, and the
+    spellings above. A leading weekday and a trailing GMT or UTC are skipped.
+    The shape decides which single parser runs: a parser that fails is far
+    dearer than a pattern that does not match.
     """
     value = F.regexp_replace(F.trim(col(text)), r"^[A-Za-z]{3}, | (GMT|UTC)$", "")
-    epoch = (
-        F.when(value.rlike(r"^\d{10}$"), F.timestamp_seconds(value.try_cast("bigint")))
+    parsed = (
+        F.when(value.rlike(r"^\d{4}-\d"), value.try_cast("timestamp"))
+        .when(value.rlike(r"^\d{10}$"), F.timestamp_seconds(value.try_cast("bigint")))
         .when(value.rlike(r"^\d{13}$"), F.timestamp_millis(value.try_cast("bigint")))
     )
-    formats = [F.try_to_timestamp(value, F.lit(fmt)) for fmt in TIMESTAMP_FORMATS]
-    return F.coalesce(epoch, *formats, F.try_to_timestamp(value))
+    for shape, pattern in OTHER_TIMESTAMPS:
+        parsed = parsed.when(value.rlike(shape), F.try_to_timestamp(value, F.lit(pattern)))
+    return parsed

@@ -58,25 +58,30 @@ def _finish(stream_query) -> None:
 # --- ingest ------------------------------------------------------------------------
 
 
-def _trace_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive.records(derive.traces(derive.read(spark, sf_dir, "events")), ("user", "feedback"))
+def _topic(spark: SparkSession, name: str, rows: DataFrame) -> DataFrame:
+    """Records as a topic archive on disk, one per line, as a load job reads it."""
+    path = work_dir(spark, f"{name}-topic")
+    rows.write.text(path)
+    return records.read_records(spark, "text", path)
 
 
 @query
 def ingest_traces(spark, sf_dir):
-    return records.ingest_traces(_trace_records(spark, sf_dir))
+    rows = derive.traces(derive.read(spark, sf_dir, "events"))
+    return records.ingest_traces(_topic(spark, "traces", derive.records(rows, ("user", "feedback"))))
 
 
 @query
 def ingest_traces_processed(spark, sf_dir):
     rows = derive.select(derive.read(spark, sf_dir, "events"), derive.TRACES_PROCESSED)
-    return records.ingest_traces_processed(derive.records(rows, ("USER", "FEEDBACK", "NUM", "TOKENS")))
+    topic = _topic(spark, "traces_processed", derive.records(rows, ("USER", "FEEDBACK", "NUM", "TOKENS")))
+    return records.ingest_traces_processed(topic)
 
 
 @query
 def ingest_metrics(spark, sf_dir):
     rows = derive.metrics(derive.read(spark, sf_dir, "events"))
-    loaded = records.ingest_metrics(derive.records(rows))
+    loaded = records.ingest_metrics(_topic(spark, "metrics", derive.records(rows)))
     return loaded.select(*rows.columns, "start_time", "end_time", "event_date", "event_hour")
 
 
@@ -86,7 +91,8 @@ _DISCOVER_DERIVED = ("date", "hour", "has_sensitive_data", "is_blocked", "is_war
 @query
 def ingest_discover_events(spark, sf_dir):
     rows = derive.discover_events(derive.read(spark, sf_dir, "events"))
-    loaded = records.ingest_discover_events(derive.records(rows, ("sensitive", "application")))
+    topic = _topic(spark, "discover_events", derive.records(rows, ("sensitive", "application")))
+    loaded = records.ingest_discover_events(topic)
     return loaded.select(*rows.columns, *_DISCOVER_DERIVED)
 
 

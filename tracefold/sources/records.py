@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracefold import schemas
-from tracefold.functions.json import parse
+from tracefold.functions.json import json_str, parse
 from tracefold.operators import events
 
 
@@ -49,12 +49,9 @@ def hoist_field(records: DataFrame, field: str = "raw_json") -> DataFrame:
     return records.withColumn(field, F.col("value").cast("string")).drop("value")
 
 
-def _document(records: DataFrame) -> DataFrame:
-    return records.withColumn("doc", parse(F.col("value").cast("string")))
-
-
-def _is_object(doc: str) -> Column:
-    return F.coalesce(F.schema_of_variant(doc).startswith("OBJECT"), F.lit(False))
+def _is_object() -> Column:
+    """Whether the record is a JSON object, read to its end but not built."""
+    return F.json_object_keys(F.col("value").cast("string")).isNotNull()
 
 
 def split_records(records: DataFrame, tombstones: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -62,15 +59,15 @@ def split_records(records: DataFrame, tombstones: bool = False) -> tuple[DataFra
 
     A NULL value is a deletion where the topic allows `tombstones`, else bad.
     """
-    parsed = _document(records)
-    good = _is_object("doc")
+    good = _is_object()
     if tombstones:
         good = good | F.col("value").isNull()
-    reason = F.when(F.col("value").isNull(), "empty").when(F.col("doc").isNull(), "not JSON").otherwise("not an object")
-    return (
-        parsed.filter(good).drop("doc"),
-        parsed.filter(~good).select(*records.columns, reason.alias("error")),
+    reason = (
+        F.when(F.col("value").isNull(), "empty")
+        .when(parse(F.col("value").cast("string")).isNull(), "not JSON")
+        .otherwise("not an object")
     )
+    return records.filter(good), records.filter(~good).withColumn("error", reason)
 
 
 def quarantine_bad_records(records: DataFrame) -> DataFrame:
@@ -92,11 +89,43 @@ def dedupe_redelivery(rows: DataFrame, keys: list[str], watermark: tuple[str, st
 # --- typed loads -------------------------------------------------------------------
 
 
-def _paths(name: str) -> list[str]:
-    """All nestings that flatten to this name: a_b is field a_b or b inside a."""
+def _nestings(name: str) -> list[tuple[str, ...]]:
+    """All nestings that flatten to this name: a_b is field a_b, or b inside a."""
     parts = name.split("_")
-    joints = product("_.", repeat=len(parts) - 1)
-    return ["$." + "".join(p + j for p, j in zip(parts, (*joint, ""))) for joint in joints]
+    out = []
+    for joints in product("_.", repeat=len(parts) - 1):
+        text = "".join(part + joint for part, joint in zip(parts, (*joints, "")))
+        out.append(tuple(text.split(".")))
+    return out
+
+
+def _record_schema(tree: dict) -> T.StructType:
+    """Parsing schema of a tree of names; a name that is both a value and an
+    object in some nesting stays VARIANT."""
+    fields = []
+    for name, node in tree.items():
+        children = {k: v for k, v in node.items() if k is not None}
+        if not children:
+            kind = node[None]
+        elif None in node:
+            kind = T.VariantType()
+        else:
+            kind = _record_schema(children)
+        fields.append(T.StructField(name, kind))
+    return T.StructType(fields)
+
+
+def _value(tree: dict, nesting: tuple[str, ...], data_type: T.DataType) -> Column:
+    node, column = tree, F.col("doc")
+    for depth, name in enumerate(nesting):
+        node = node[name]
+        column = column.getField(name)
+        if None in node and len(node) > 1:
+            path = ".".join(("$", *nesting[depth + 1:]))
+            if path == "$" and isinstance(data_type, T.StringType):
+                return F.nullif(json_str(column), F.lit(""))
+            return F.try_variant_get(column, path, data_type.simpleString())
+    return column
 
 
 _DEFAULTS = {"string": "''", "int": "0", "bigint": "0L", "double": "0D"}
@@ -105,23 +134,32 @@ _DEFAULTS = {"string": "''", "int": "0", "bigint": "0L", "double": "0D"}
 def load_rows(
     records: DataFrame, schema: T.StructType, flatten: bool = True, nullable: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Records as typed columns, each document parsed once.
+    """Records as typed columns, each record parsed in one pass.
 
     With `flatten`, a column is also found inside nested objects. Missing or
     unfit values become the type's default unless the column is nullable.
+    Records that are not JSON objects give no row (see `split_records`).
     """
+    nestings = {f.name: _nestings(f.name) if flatten else [(f.name,)] for f in schema.fields}
+    tree: dict = {}
+    for field in schema.fields:
+        for nesting in nestings[field.name]:
+            node = tree
+            for name in nesting:
+                node = node.setdefault(name, {})
+            node[None] = field.dataType
 
     def column(field: T.StructField) -> Column:
-        kind = field.dataType.simpleString()
-        paths = _paths(field.name) if flatten else [f"$.{field.name}"]
-        value = F.coalesce(*[F.try_variant_get("doc", path, kind) for path in paths])
+        value = F.coalesce(*[_value(tree, nesting, field.dataType) for nesting in nestings[field.name]])
         if field.name not in nullable:
+            kind = field.dataType.simpleString()
             default = F.expr(_DEFAULTS[kind]) if kind in _DEFAULTS else F.array().cast(kind)
             value = F.coalesce(value, default)
         return value.alias(field.name)
 
-    good = _document(records).filter(_is_object("doc"))
-    return good.select(*[column(field) for field in schema.fields])
+    doc = F.from_json(F.col("value").cast("string"), _record_schema(tree))
+    parsed = records.filter(_is_object()).select(doc.alias("doc"))
+    return parsed.select(*[column(field) for field in schema.fields])
 
 
 def ingest_traces(records: DataFrame) -> DataFrame:
