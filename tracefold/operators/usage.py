@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracefold.functions.numbers import or_zero, percent, ratio
-from tracefold.functions.timeparts import date_of
 from tracefold.operators.rollup import Rollup, sum_counters
 
 DAY = ["APP_ID", "EVENT_DATE"]
@@ -71,7 +70,7 @@ CONVERSATION_DAYS = Rollup(
 USER_DAYS = Rollup(
     "user_days",
     (*DAY, "USER_ID"),
-    {"n": ("count", "1"), "first_start": ("min", "START_TIMESTAMP")},
+    {"n": ("count", "1")},
     _known_user,
 )
 SESSION_DAYS = Rollup("session_days", (*DAY, "SESSION_ID"), {"n": ("count", "1")}, _known_user)
@@ -175,26 +174,22 @@ def traces_usage_metrics(traces_processed: DataFrame, apps: DataFrame) -> DataFr
 # --- users -----------------------------------------------------------------
 
 
-def first_seen(user_days: DataFrame) -> DataFrame:
-    """First message time of every user in every app."""
-    return user_days.groupBy("APP_ID", "USER_ID").agg(F.min("first_start").alias("first_start"))
-
+def finish_users(
+    user_days: DataFrame, session_days: DataFrame, location_days: DataFrame | None = None
+) -> DataFrame:
+    """A user is new on the first of their days in the app's whole history.
 
-def finish_users(user_days: DataFrame, session_days: DataFrame, location_days: DataFrame) -> DataFrame:
-    """A user is new on the day of their first message in the whole history."""
-    users = user_days.groupBy(*DAY).agg(F.count("*").alias("users_count"))
-    new_users = (
-        first_seen(user_days)
-        .groupBy("APP_ID", date_of("first_start").alias("EVENT_DATE"))
-        .agg(F.count("*").alias("new_users_count"))
+    The window holds the days of one user, never their messages.
+    """
+    history = Window.partitionBy("APP_ID", "USER_ID")
+    users = (
+        user_days.withColumn("is_new", F.col("EVENT_DATE") == F.min("EVENT_DATE").over(history))
+        .groupBy(*DAY)
+        .agg(F.count("*").alias("users_count"), F.count_if("is_new").alias("new_users_count"))
     )
     sessions = session_days.groupBy(*DAY).agg(F.count("*").alias("sessions_count"))
-    return _with_day(
-        users.join(new_users, DAY, "left")
-        .join(sessions, DAY)
-        .join(_countries(location_days), DAY)
-        .withColumn("new_users_count", or_zero("new_users_count"))
-    )
+    joined = users.join(sessions, DAY)
+    return _with_day(joined.join(_countries(location_days), DAY) if location_days is not None else joined)
 
 
 def _countries(location_days: DataFrame) -> DataFrame:
@@ -263,9 +258,8 @@ def finish_metrics(usage: DataFrame, users: DataFrame) -> DataFrame:
 
 def traces_metrics(traces_processed: DataFrame, apps: DataFrame) -> DataFrame:
     """Daily usage joined with daily users, with rates."""
-    return finish_metrics(
-        traces_usage_metrics(traces_processed, apps), traces_user_metrics(traces_processed)
-    )
+    users = finish_users(USER_DAYS.partial(traces_processed), SESSION_DAYS.partial(traces_processed))
+    return finish_metrics(traces_usage_metrics(traces_processed, apps), users)
 
 
 def traces_metrics_total(daily: DataFrame) -> DataFrame:
@@ -375,7 +369,7 @@ def single_message_rate(message_counts: DataFrame) -> DataFrame:
 def traces_user_engagement(traces_processed: DataFrame) -> DataFrame:
     """Messages per user and day."""
     return _with_day(
-        USER_DAYS.partial(traces_processed).drop("first_start").withColumnRenamed("n", "interaction_count")
+        USER_DAYS.partial(traces_processed).withColumnRenamed("n", "interaction_count")
     )
 
 
@@ -396,7 +390,7 @@ def traces_engagement_metrics(engagement: DataFrame) -> DataFrame:
 def traces_top_users(traces_processed: DataFrame) -> DataFrame:
     """Requests per user and day."""
     return _with_day(
-        USER_DAYS.partial(traces_processed).drop("first_start").withColumnRenamed("n", "request_count")
+        USER_DAYS.partial(traces_processed).withColumnRenamed("n", "request_count")
     )
 
 

@@ -530,14 +530,13 @@ def _rollups(spark, sf_dir, name, rollups, sides=None) -> IncrementalRollups:
 @query
 def incremental_rollup(spark, sf_dir):
     """Daily metrics from streamed, compacted states."""
-    needed = (usage.USAGE_DAYS, usage.MESSAGE_DAYS, usage.CONVERSATION_DAYS,
-              usage.USER_DAYS, usage.SESSION_DAYS, usage.LOCATION_DAYS)
+    needed = (usage.USAGE_DAYS, usage.MESSAGE_DAYS, usage.CONVERSATION_DAYS, usage.USER_DAYS, usage.SESSION_DAYS)
     stored = _rollups(spark, sf_dir, "incremental_rollup", needed)
     stored.compact(spark)
-    days, messages, convs, users, sessions, locations = [stored.state(spark, r) for r in needed]
+    days, messages, convs, users, sessions = [stored.state(spark, r) for r in needed]
     return usage.finish_metrics(
         usage.finish_usage(days, messages, convs, _apps(spark, sf_dir)),
-        usage.finish_users(users, sessions, locations),
+        usage.finish_users(users, sessions),
     )
 
 

@@ -38,8 +38,8 @@ APPS = {
 
 # Two of the 27 apps in the traces are not among the 25 known ones.
 TRACES_PROCESSED = {
-    "APP_ID": "'app' || (user_id % 27)",
-    "TEAM_ID": "'team' || (user_id % 27 % 3)",
+    "APP_ID": "'app' || ((user_id + 20) % 27)",
+    "TEAM_ID": "'team' || ((user_id + 20) % 27 % 3)",
     "TRACE_ID": "'t' || event_id",
     "PARENT_ID": "''",
     "INTERACTION_ID": "'i' || (event_id - case when event_id % 10 = 9 then 1 else 0 end)",
