@@ -111,3 +111,13 @@ def test_uncommitted_batch_is_not_read(spark, tp, tmp_path):
     same(stored.partials(spark, usage.USAGE_DAYS, upto=0), usage.USAGE_DAYS.partial(tp))
     with pytest.raises(ValueError):
         stored.partials(spark, usage.USAGE_DAYS)
+
+
+def test_a_batch_without_rows(spark, tp, tmp_path):
+    source = str(tmp_path / "source")
+    tp.filter("TASK = 'system'").write.parquet(source)
+    stored = _stored(tmp_path / "state", (usage.USAGE_DAYS, usage.USER_DAYS))
+    stored.start(spark.readStream.schema(tp.schema).parquet(source)).awaitTermination()
+    assert stored.state(spark, usage.USER_DAYS).count() == 0
+    stored.compact(spark)
+    assert stored.state(spark, usage.USAGE_DAYS).count() == 0

@@ -148,6 +148,14 @@ def test_hot_topic_durations(hot):
     assert timed.filter("CONVERSATION_ID = 'hot'").count() < labels.count()
 
 
+def test_stored_spans_are_read_by_kind(spark, sf_dir, tmp_path):
+    documents = derive.agent_documents(derive.read(spark, sf_dir, "conversations"))
+    text = plan(agents.tool_requests(spans.write_spans(documents, str(tmp_path / "s"))))
+    assert "EqualTo(kind,tool)" in text and "EqualTo(kind,workflow)" in text
+    parent = min(_read_columns(text), key=len)
+    assert parent == {"team_id", "trace_id", "span_id", "kind", "agent_name"}
+
+
 def test_hot_parent_span(spark):
     """One agent that makes a third of all calls."""
     calls = spark.range(3000).select(

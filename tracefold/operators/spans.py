@@ -73,6 +73,18 @@ def explode_spans(agent_traces: DataFrame, blank_as_null: bool = False) -> DataF
     )
 
 
+def write_spans(agent_traces: DataFrame, path: str, mode: str = "append", **options) -> DataFrame:
+    """Store the spans and read them back.
+
+    Operators that use spans several times should read them from here: the
+    documents are parsed once, and each use reads only its own columns and the
+    kinds of span it filters on.
+    """
+    spans = explode_spans(agent_traces, **options)
+    spans.write.mode(mode).parquet(path)
+    return agent_traces.sparkSession.read.schema(spans.schema).parquet(path)
+
+
 def unparsed_documents(agent_traces: DataFrame) -> DataFrame:
     """Documents that yield no spans because they are not JSON."""
     return agent_traces.filter(parse("raw_json").isNull())

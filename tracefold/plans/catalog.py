@@ -51,6 +51,11 @@ def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.explode_spans(_documents(spark, sf_dir))
 
 
+def _stored_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans as a written table, for operators that read them several times."""
+    return spans.write_spans(_documents(spark, sf_dir), work_dir(spark, "spans"))
+
+
 def _finish(stream_query) -> None:
     stream_query.awaitTermination()
 
@@ -452,9 +457,9 @@ def explode_spans(spark, sf_dir):
     return _spans(spark, sf_dir).drop("doc_id", "called_name")
 
 
-def _agent_query(operator) -> None:
+def _agent_query(operator, source) -> None:
     def build(spark, sf_dir):
-        return operator(_spans(spark, sf_dir))
+        return operator(source(spark, sf_dir))
 
     build.__name__ = operator.__name__
     query(build)
@@ -465,16 +470,16 @@ for _operator in (
     agents.tools,
     agents.agent_tool_permissions,
     agents.tool_requests,
-    agents.agent_dependencies,
     agents.guardian_invocations,
-    agents.agent_requests,
 ):
-    _agent_query(_operator)
+    _agent_query(_operator, _spans)
+for _operator in (agents.agent_dependencies, agents.agent_requests):
+    _agent_query(_operator, _stored_spans)
 
 
 @query
 def v_agents_with_metrics(spark, sf_dir):
-    rows = _spans(spark, sf_dir)
+    rows = _stored_spans(spark, sf_dir)
     view = agent_views.v_agents_with_metrics(
         agents.agents(rows),
         agents.guardian_invocations(rows),
@@ -487,7 +492,7 @@ def v_agents_with_metrics(spark, sf_dir):
 
 @query
 def v_agent_permissions_with_metrics(spark, sf_dir):
-    rows = _spans(spark, sf_dir)
+    rows = _stored_spans(spark, sf_dir)
     return agent_views.v_agent_permissions_with_metrics(
         agents.agent_tool_permissions(rows), agents.tool_requests(rows), derive.AS_OF
     )
@@ -495,7 +500,7 @@ def v_agent_permissions_with_metrics(spark, sf_dir):
 
 @query
 def v_agent_dependency_graph(spark, sf_dir):
-    return agent_views.v_agent_dependency_graph(agents.agent_dependencies(_spans(spark, sf_dir)), derive.AS_OF)
+    return agent_views.v_agent_dependency_graph(agents.agent_dependencies(_stored_spans(spark, sf_dir)), derive.AS_OF)
 
 
 # --- events ----------------------------------------------------------------------------------

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tracefold.operators import agents as ops
 from tracefold.operators.merge import latest_by_version
-from tracefold.operators.spans import explode_spans
+from tracefold.operators.spans import write_spans
 from tracefold.streaming.batches import last_commit, read_batches, run_batches, write_batch
 
 TABLES = {
@@ -39,9 +39,7 @@ class IncrementalAgentTables:
         return f"{self.base}/checkpoint"
 
     def write(self, documents: DataFrame, batch_id: int) -> None:
-        spark = documents.sparkSession
-        write_batch(explode_spans(documents), f"{self.base}/spans", batch_id)
-        spans = spark.read.schema(explode_spans(documents).schema).parquet(f"{self.base}/spans/batch_id={batch_id}")
+        spans = write_spans(documents, f"{self.base}/spans/batch_id={batch_id}", mode="overwrite")
         for name, derive in TABLES.items():
             write_batch(derive(spans), f"{self.base}/{name}", batch_id)
 

@@ -30,8 +30,8 @@ def last_commit(spark: SparkSession, checkpoint: str) -> int:
     return -1 if newest is None else newest
 
 
-def write_batch(df: DataFrame, folder: str, batch_id: int, partition_by: tuple[str, ...] = ()) -> None:
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{folder}/batch_id={batch_id}")
+def write_batch(df: DataFrame, folder: str, batch_id: int) -> None:
+    df.write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
 
 
 def read_batches(spark: SparkSession, folder: str, after: int, upto: int) -> DataFrame:

@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tracefold.functions.timeparts import month_of
 from tracefold.operators.rollup import Rollup
 from tracefold.streaming.batches import last_commit, read_batches, run_batches, write_batch
 
@@ -47,7 +46,7 @@ class IncrementalRollups:
         try:
             for rollup in self.rollups:
                 partial = rollup.partial(rows, *self.sides.get(rollup.name, ()))
-                write_batch(_monthly(partial), self._folder(rollup.name), batch_id, ("yyyymm",))
+                write_batch(partial, self._folder(rollup.name), batch_id)
         finally:
             rows.unpersist()
 
@@ -82,7 +81,8 @@ class IncrementalRollups:
     def compact(self, spark: SparkSession) -> int:
         """Fold all committed batches; gives the last one folded.
 
-        New files are complete before the manifest names them, so readers see
+        Folded files are cut by date and key, so a date filter reads few of
+        them. They are complete before the manifest names them: readers see
         either the old or the new fold. Old folders are left for clean-up once
         no reader uses them.
         """
@@ -90,11 +90,9 @@ class IncrementalRollups:
         if upto <= self._folded_upto(spark):
             return upto
         for rollup in self.rollups:
-            merged = rollup.merge(self.partials(spark, rollup, upto))
-            _monthly(merged).write.mode("overwrite").partitionBy("yyyymm").parquet(self._folded(rollup.name, upto))
+            by_date = ["EVENT_DATE", *[key for key in rollup.keys if key != "EVENT_DATE"]]
+            merged = rollup.merge(self.partials(spark, rollup, upto)).repartitionByRange(*by_date)
+            merged.sortWithinPartitions(*by_date).write.mode("overwrite").parquet(self._folded(rollup.name, upto))
         spark.range(1).select(F.lit(upto).cast("bigint").alias("upto")).write.mode("append").json(f"{self.base}/manifest")
         return upto
 
-
-def _monthly(partial: DataFrame) -> DataFrame:
-    return partial.withColumn("yyyymm", month_of("EVENT_DATE"))
