@@ -1,4 +1,4 @@
-"""Small reference tables: teams, apps, classifiers, classes."""
+"""Dimension tables: teams, apps, classifiers, classes."""
 
 from __future__ import annotations
 
