@@ -68,15 +68,16 @@ def test_sum_counters(spark):
     assert collected(sum_counters(state, ["k"], ["x", "y"])) == ["('a', 4, 6)", "('b', 5, 6)"]
 
 
-def _stored(tmp_path, rollups):
-    return IncrementalRollups(str(tmp_path), rollups)
+def _stored(tmp_path, rollups, cache=False):
+    return IncrementalRollups(str(tmp_path), rollups, cache=cache)
 
 
-def test_stream_in_many_batches(spark, tp, tmp_path):
+@pytest.mark.parametrize("cache", [False, True])
+def test_stream_in_many_batches(spark, tp, tmp_path, cache):
     """Several micro-batches, a replayed batch and a fold give the direct result."""
     source = str(tmp_path / "source")
     tp.repartition(5).write.parquet(source)
-    stored = _stored(tmp_path / "state", usage.DAILY_ROLLUPS)
+    stored = _stored(tmp_path / "state", usage.DAILY_ROLLUPS, cache)
     stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 1).parquet(source)
     stored.start(stream).awaitTermination()
     assert last_commit(spark, stored.checkpoint) == 4

@@ -417,8 +417,8 @@ ORACLE: dict[str, str] = {
     "ingest_metrics": _q(_METRICS, f"select m.*, {_times('')} from m"),
     "ingest_discover_events": _q(_DISCOVER, _DISCOVER_COLUMNS),
     "ingest_agent_traces": (
-        "select json_object('doc_id', doc_id, 'text', \"text\", 'lang', lang, 'source', source, 'n_chars', n_chars)"
-        f" as raw_json, {_NOW} as ingested_at, cast({_NOW} as date) as ingested_date from documents"
+        "select cast(json_object('doc_id', doc_id, 'text', \"text\", 'lang', lang, 'source', source, 'n_chars', n_chars)"
+        f" as varchar) as raw_json, {_NOW} as ingested_at, cast({_NOW} as date) as ingested_date from documents"
     ),
     "ingest_gpt_usage": _q(
         _GPT,
@@ -431,7 +431,7 @@ ORACLE: dict[str, str] = {
         "select event_id, user_id, event_type as user_last_name, value as score_value from events"
     ),
     "hoist_field": (
-        "select json_object('conv_id', conv_id, 'turn', turn, 'role', role, 'text', \"text\") as raw_json"
+        "select cast(json_object('conv_id', conv_id, 'turn', turn, 'role', role, 'text', \"text\") as varchar) as raw_json"
         " from conversations"
     ),
     "quarantine_bad_records": (
@@ -460,7 +460,7 @@ ORACLE: dict[str, str] = {
     ),
     "enrich_traces_words": _q(
         _ENRICHED,
-        "select TRACE_ID, wi as NUM_WORDS_PROMPT, wo as NUM_WORDS_RESPONSE,"
+        "select TRACE_ID, cast(wi as int) as NUM_WORDS_PROMPT, cast(wo as int) as NUM_WORDS_RESPONSE,"
         " cast(ceil(length(i) / 4e0) as int) as TOKENS_SPENT_PROMPT,"
         " cast(ceil(length(o) / 4e0) as int) as TOKENS_SPENT_RESPONSE,"
         " case when wo = 0 then 0e0 else round(206.835e0 - 1.015e0 * (cast(wo as double) / sentences)"
@@ -532,7 +532,7 @@ ORACLE: dict[str, str] = {
     "top_users": _q(
         MSG,
         "select *, EVENT_DATE as day from (select APP_ID, EVENT_DATE, USER_ID, count(*) as request_count,"
-        " row_number() over (partition by APP_ID, EVENT_DATE order by count(*) desc, USER_ID) as rank"
+        " cast(row_number() over (partition by APP_ID, EVENT_DATE order by count(*) desc, USER_ID) as int) as rank"
         " from msg where USER_ID <> '' group by APP_ID, EVENT_DATE, USER_ID) where rank <= 5",
     ),
     "users_countries_daily": _q(f"{MSG},\n{_USERS},\n{_COUNTRY_LIST}", "select * from country_list"),

@@ -8,6 +8,7 @@ traces.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -15,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tracefold.operators import agents as ops
 from tracefold.operators.merge import latest_by_version
 from tracefold.operators.spans import write_spans
-from tracefold.streaming.batches import last_commit, read_batches, run_batches, write_batch
+from tracefold.streaming.batches import last_commit, read_batches, run_batches, together, write_batch
 
 TABLES = {
     "agents": ops.agents,
@@ -40,8 +41,9 @@ class IncrementalAgentTables:
 
     def write(self, documents: DataFrame, batch_id: int) -> None:
         spans = write_spans(documents, f"{self.base}/spans/batch_id={batch_id}", mode="overwrite")
-        for name, derive in TABLES.items():
-            write_batch(derive(spans), f"{self.base}/{name}", batch_id)
+        together(
+            partial(write_batch, derive(spans), f"{self.base}/{name}", batch_id) for name, derive in TABLES.items()
+        )
 
     def start(self, stream: DataFrame, every: str | None = None) -> StreamingQuery:
         return run_batches(stream, self.checkpoint, self.write, every=every)

@@ -8,7 +8,8 @@ checkpoint; a batch that is half written is not seen.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,16 @@ def write_batch(df: DataFrame, folder: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
 
 
+def together(jobs: Iterable[Callable[[], None]]) -> None:
+    """Run independent Spark jobs at the same time; the first error is raised.
+
+    One job after the other would leave the cluster idle at the end of each.
+    """
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        for done in [pool.submit(job) for job in jobs]:
+            done.result()
+
+
 def read_batches(spark: SparkSession, folder: str, after: int, upto: int) -> DataFrame:
     """Rows of the batches in (after, upto], which prunes whole folders."""
     rows = spark.read.option("basePath", folder).parquet(f"{folder}/batch_id=*")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tracefold.operators.rollup import Rollup
-from tracefold.streaming.batches import last_commit, read_batches, run_batches, write_batch
+from tracefold.streaming.batches import last_commit, read_batches, run_batches, together, write_batch
 
 
 @dataclass(frozen=True)
@@ -24,11 +25,15 @@ class IncrementalRollups:
     """Stored partial rows of several roll-ups over one source stream.
 
     `sides` gives, by roll-up name, the dimension frames its rows need.
+    `cache` keeps a micro-batch in memory for all roll-ups: for sources that
+    are dear to read, such as topics of JSON. Columnar files are better read by
+    each roll-up, which takes only its own columns.
     """
 
     base: str
     rollups: Sequence[Rollup]
     sides: dict[str, tuple[DataFrame, ...]] = field(default_factory=dict)
+    cache: bool = False
 
     @property
     def checkpoint(self) -> str:
@@ -42,13 +47,17 @@ class IncrementalRollups:
 
     def write(self, rows: DataFrame, batch_id: int) -> None:
         """Add one batch; the same batch again replaces itself."""
-        rows = rows.persist()
+        if self.cache:
+            rows = rows.persist()
         try:
-            for rollup in self.rollups:
-                partial = rollup.partial(rows, *self.sides.get(rollup.name, ()))
-                write_batch(partial, self._folder(rollup.name), batch_id)
+            together(partial(self._write_one, rollup, rows, batch_id) for rollup in self.rollups)
         finally:
-            rows.unpersist()
+            if self.cache:
+                rows.unpersist()
+
+    def _write_one(self, rollup: Rollup, rows: DataFrame, batch_id: int) -> None:
+        partials = rollup.partial(rows, *self.sides.get(rollup.name, ()))
+        write_batch(partials, self._folder(rollup.name), batch_id)
 
     def start(self, stream: DataFrame, every: str | None = None) -> StreamingQuery:
         return run_batches(stream, self.checkpoint, self.write, every=every)
@@ -89,10 +98,11 @@ class IncrementalRollups:
         upto = last_commit(spark, self.checkpoint)
         if upto <= self._folded_upto(spark):
             return upto
-        for rollup in self.rollups:
-            by_date = ["EVENT_DATE", *[key for key in rollup.keys if key != "EVENT_DATE"]]
-            merged = rollup.merge(self.partials(spark, rollup, upto)).repartitionByRange(*by_date)
-            merged.sortWithinPartitions(*by_date).write.mode("overwrite").parquet(self._folded(rollup.name, upto))
+        together(partial(self._fold_one, spark, rollup, upto) for rollup in self.rollups)
         spark.range(1).select(F.lit(upto).cast("bigint").alias("upto")).write.mode("append").json(f"{self.base}/manifest")
         return upto
 
+    def _fold_one(self, spark: SparkSession, rollup: Rollup, upto: int) -> None:
+        by_date = ["EVENT_DATE", *[key for key in rollup.keys if key != "EVENT_DATE"]]
+        merged = rollup.merge(self.partials(spark, rollup, upto)).repartitionByRange(*by_date)
+        merged.sortWithinPartitions(*by_date).write.mode("overwrite").parquet(self._folded(rollup.name, upto))
