@@ -401,7 +401,8 @@ def traces_conversations(spark, sf_dir):
 @query
 def traces_conversations_view(spark, sf_dir):
     tp, apps = _tp(spark, sf_dir), _apps(spark, sf_dir)
-    state = conversations.CONVERSATIONS.partial(tp, apps)
+    # Whole conversations at once: per-day states would be shuffled a second time.
+    state = conversations.CONVERSATIONS.partial(tp, apps, keys=conversations.CONVERSATION)
     texts = conversations.conversation_classifiers(tp, apps)
     return _lists_as_text(conversations.traces_conversations_view(state, texts))
 
@@ -435,7 +436,10 @@ def kpi_topics_1d(spark, sf_dir):
 
 def _topic_view(spark, sf_dir, denominator: str) -> DataFrame:
     tp = _tp(spark, sf_dir)
-    states = [rollup.partial(tp) for rollup in topics.TOPIC_ROLLUPS]
+    # States without SCORE from the start, so that merging them needs no shuffle.
+    states = [
+        rollup.partial(tp, keys=[key for key in rollup.keys if key != "SCORE"]) for rollup in topics.TOPIC_ROLLUPS
+    ]
     return topics.kpi_topics_1d_view(*states, _apps(spark, sf_dir), denominator=denominator)
 
 
