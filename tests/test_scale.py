@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from tests.helpers import plan, same
-from tracefold.operators import agents, conversations, spans, topics, usage
+from tracefold.operators import agents, conversations, events, spans, topics, usage
 from tracefold.plans import derive
 from tracefold.sources import tables
 
@@ -33,7 +33,7 @@ def test_plan_has_no_cross_join_or_python(spark, sf_dir, name):
 def table(spark, sf_dir, tmp_path_factory):
     """Processed traces as the library writes them."""
     path = str(tmp_path_factory.mktemp("tp") / "t")
-    tables.write_table(derive.traces_processed(derive.read(spark, sf_dir, "events")), path, "traces_processed", partitions=4)
+    tables.write_table(derive.traces_processed(derive.read(spark, sf_dir, "events")), path, "traces_processed", clustered=True)
     return spark.read.parquet(path)
 
 
@@ -67,6 +67,17 @@ def test_date_ranges_prune_months(table):
     assert "GreaterThanOrEqual(EVENT_DATE" in text
 
 
+def test_layouts_hold_the_same_rows(spark, sf_dir, tmp_path):
+    rows = derive.discover_events(derive.read(spark, sf_dir, "events"))
+    rows = events.discover_events_enriched(rows)
+    for clustered in (False, True):
+        path = str(tmp_path / str(clustered))
+        tables.write_table(rows, path, "discover_events", clustered=clustered)
+        same(spark.read.parquet(path).drop("yyyymm").select(*rows.columns), rows)
+    text = plan(tables.with_month(rows, "date").hint("rebalance", "yyyymm", "team_id"))
+    assert "REBALANCE_PARTITIONS_BY_COL" in text
+
+
 def test_retention_prunes_months(table):
     text = plan(tables.apply_retention(table, "EVENT_DATE", "12 MONTHS", "2025-01-20 00:00:00"))
     assert re.search(r"PartitionFilters: \[.*yyyymm.* >= 202401", text)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
+from functools import partial, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,14 +24,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
-def query(build: Query) -> Query:
+def query(build: Query, name: str | None = None) -> Query:
     """Register under the function's name, in a session with our settings."""
 
     @wraps(build)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return build(prepare(spark), sf_dir)
 
-    QUERIES[build.__name__] = run
+    QUERIES[name or build.__name__] = run
     return run
 
 
@@ -261,16 +261,16 @@ def gpt_usage_current(spark, sf_dir):
     return merge.gpt_usage_current(rows, ("o_orderkey",))
 
 
-@query
-def merge_state_rows(spark, sf_dir):
+@partial(query, name="merge_states")
+def _merge_states(spark, sf_dir):
     """States per app, day and language merged to one row per app."""
     state = usage.USAGE_DAYS.partial(_tp(spark, sf_dir), keys=("APP_ID", "EVENT_DATE", "LANG_PROMPT"))
     spec = {name: kind for name, (kind, _) in usage.USAGE_DAYS.measures.items()}
     return merge_states(state, ["APP_ID"], spec)
 
 
-@query
-def sum_counter_rows(spark, sf_dir):
+@partial(query, name="sum_counters")
+def _sum_counters(spark, sf_dir):
     counters = usage.traces_language_metrics(_tp(spark, sf_dir))
     return sum_counters(counters, ["APP_ID", "LANG_PROMPT"], ["language_count"])
 
@@ -465,8 +465,7 @@ def _agent_query(operator, source) -> None:
     def build(spark, sf_dir):
         return operator(source(spark, sf_dir))
 
-    build.__name__ = operator.__name__
-    query(build)
+    query(build, operator.__name__)
 
 
 for _operator in (

@@ -484,7 +484,7 @@ ORACLE: dict[str, str] = {
         + ", ".join(_GPT_LATEST.format(c) for c in ("o_orderkey", "name", "num_interactions", "detected_at"))
         + " from g group by team_id, gizmo_id, author_user_id",
     ),
-    "merge_state_rows": _q(
+    "merge_states": _q(
         MSG,
         "select APP_ID, count(*) as n, min(START_TIMESTAMP) as min_start, max(END_TIMESTAMP) as max_end, "
         + ", ".join(
@@ -497,7 +497,7 @@ ORACLE: dict[str, str] = {
         )
         + ", sum(READABILITY_RESPONSE) as readability from msg group by APP_ID",
     ),
-    "sum_counter_rows": _q(
+    "sum_counters": _q(
         MSG, "select APP_ID, LANG_PROMPT, count(*) as language_count from msg group by all"
     ),
     # usage

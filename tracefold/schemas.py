@@ -93,3 +93,15 @@ LAYOUT = {
 DISCOVER_BLOOM = (
     "team_id", "application_id", "event_type", "action", "session_id", "sensitive_data_level", "category",
 )
+
+# Values that enumerated columns may take. Fixed values.
+ENUMS = {
+    "agents": {"risk_level": ("Low", "Medium", "High"), "status": ("Active", "Disabled", "Quarantined")},
+    "tool_requests": {"status": ("success", "error", "blocked", "pending")},
+    "agent_requests": {"status": ("success", "error", "timeout", "cancelled")},
+    "agent_dependencies": {
+        "target_type": ("agent", "tool"),
+        "dependency_type": ("calls", "uses", "monitors", "processes"),
+    },
+    "guardian_invocations": {"result": ("allowed", "blocked", "flagged")},
+}

@@ -22,18 +22,22 @@ def write_monthly(
     order: Sequence[str],
     bloom: Sequence[str] = (),
     mode: str = "append",
-    partitions: int | None = None,
+    clustered: bool = False,
 ) -> None:
     """Write by month, each file sorted by the table's key.
 
-    Rows are range-partitioned on (month, key): a month or an app that holds
-    most rows is cut into as many ranges as its size needs, and every file
-    covers a narrow key range, so its min/max statistics prune well.
+    By default rows are rebalanced on (month, leading key) in one pass over the
+    input: adaptive execution cuts a month or key that holds most rows into
+    files of even size, and sorted row groups keep min/max statistics narrow.
+
+    `clustered` range-partitions on (month, whole key) instead, so that whole
+    files have narrow ranges. It samples the input first, which reads it twice:
+    meant for rewriting tables, not for parsing records.
     """
     keys = ["yyyymm", *order]
     by_month = with_month(df, date)
-    ranged = by_month.repartitionByRange(partitions, *keys) if partitions else by_month.repartitionByRange(*keys)
-    writer = ranged.sortWithinPartitions(*keys).write.mode(mode).partitionBy("yyyymm")
+    spread = by_month.repartitionByRange(*keys) if clustered else by_month.hint("rebalance", *keys[:2])
+    writer = spread.sortWithinPartitions(*keys).write.mode(mode).partitionBy("yyyymm")
     for column in bloom:
         writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
     writer.parquet(path)
@@ -66,6 +70,20 @@ def apply_retention(df: DataFrame, date: str, keep: str, as_of: str | Column) ->
     return kept
 
 
+def retain(df: DataFrame, table: str, as_of: str | Column) -> DataFrame:
+    """Rows of one of the known tables within its own lifetime."""
+    _, date, keep = schemas.LAYOUT[table]
+    return apply_retention(df, date, keep, as_of)
+
+
+def invalid_values(df: DataFrame, table: str) -> DataFrame:
+    """Rows with a value outside the table's enumerations."""
+    wrong = F.lit(False)
+    for column, allowed in schemas.ENUMS[table].items():
+        wrong = wrong | ~F.col(column).isin(*allowed)
+    return df.filter(wrong)
+
+
 def expired_months(df: DataFrame, keep: str, as_of: str | Column) -> DataFrame:
     """Month partitions in which every row has expired."""
     return df.filter(F.col("yyyymm") < month_of(_oldest(as_of, keep))).select("yyyymm").distinct()
