@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracefold.functions.numbers import ratio
 from tracefold.functions.timeparts import minutes, second_of
 from tracefold.operators.rollup import Rollup
-from tracefold.operators.usage import messages
+from tracefold.operators.usage import messages, with_day
 
 CONVERSATION = ("APP_ID", "CONVERSATION_ID")
 CONVERSATION_DAY = (*CONVERSATION, "EVENT_DATE")
@@ -155,7 +155,7 @@ def traces_conversations(
     """Conversations per day."""
     finished = finish_conversations(CONVERSATIONS.partial(traces_processed, apps), CONVERSATION_DAY)
     classifiers = conversation_classifiers(traces_processed, apps) if classifier_text else None
-    return _with_text(finished, classifiers, CONVERSATION_DAY, max_messages)
+    return with_day(_with_text(finished, classifiers, CONVERSATION_DAY, max_messages))
 
 
 def traces_conversations_view(

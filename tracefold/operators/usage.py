@@ -114,7 +114,7 @@ APPROX_DAYS = Rollup(
 )
 
 
-def _with_day(df: DataFrame) -> DataFrame:
+def with_day(df: DataFrame) -> DataFrame:
     """`day` repeats the date right after it, as readers expect both."""
     at = df.columns.index("EVENT_DATE") + 1
     return df.select(*df.columns[:at], F.col("EVENT_DATE").alias("day"), *df.columns[at:])
@@ -135,7 +135,7 @@ def finish_usage(
     prompt_cost = F.col("tokens_prompt") * F.col("inputCost")
     response_cost = F.col("tokens_response") * F.col("outputCost")
     joined = usage_days.join(per_day, DAY).join(conversations, DAY).join(costs, "APP_ID")
-    return _with_day(joined.select(
+    return with_day(joined.select(
         *DAY,
         "messages_count",
         "conversations_count",
@@ -189,7 +189,7 @@ def finish_users(
     )
     sessions = session_days.groupBy(*DAY).agg(F.count("*").alias("sessions_count"))
     joined = users.join(sessions, DAY)
-    return _with_day(joined.join(_countries(location_days), DAY) if location_days is not None else joined)
+    return with_day(joined.join(_countries(location_days), DAY) if location_days is not None else joined)
 
 
 def _countries(location_days: DataFrame) -> DataFrame:
@@ -213,7 +213,7 @@ def traces_user_metrics(traces_processed: DataFrame) -> DataFrame:
 
 def users_countries_daily(traces_processed: DataFrame) -> DataFrame:
     """Countries of the day's known users, with message counts."""
-    return _with_day(_countries(LOCATION_DAYS.partial(traces_processed)))
+    return with_day(_countries(LOCATION_DAYS.partial(traces_processed)))
 
 
 # --- combined daily and total figures ---------------------------------------
@@ -297,7 +297,7 @@ def traces_metrics_total(daily: DataFrame) -> DataFrame:
 
 def traces_language_metrics(traces_processed: DataFrame) -> DataFrame:
     """Messages per prompt language."""
-    return _with_day(LANGUAGE_DAYS.partial(traces_processed).withColumnRenamed("n", "language_count"))
+    return with_day(LANGUAGE_DAYS.partial(traces_processed).withColumnRenamed("n", "language_count"))
 
 
 def traces_language_daily(language_metrics: DataFrame) -> DataFrame:
@@ -313,7 +313,7 @@ def traces_language_daily(language_metrics: DataFrame) -> DataFrame:
 def traces_country_metrics(traces_processed: DataFrame) -> DataFrame:
     """Messages per country, most active first."""
     return (
-        _with_day(COUNTRY_DAYS.partial(traces_processed))
+        with_day(COUNTRY_DAYS.partial(traces_processed))
         .withColumnsRenamed({"LOCATION": "country", "n": "count"})
         .orderBy(*DAY, F.desc("count"), "country")
     )
@@ -322,7 +322,7 @@ def traces_country_metrics(traces_processed: DataFrame) -> DataFrame:
 def _finish_sessions(rollup: Rollup, state: DataFrame, name: str | None = None) -> DataFrame:
     column = rollup.keys[2]
     counted = state.groupBy(*DAY, column).agg(F.count("*").alias("count"))
-    return _with_day(counted.withColumnRenamed(column, name) if name else counted)
+    return with_day(counted.withColumnRenamed(column, name) if name else counted)
 
 
 def traces_device_metrics(traces_processed: DataFrame) -> DataFrame:
@@ -350,7 +350,7 @@ def traces_channel_metrics(traces_processed: DataFrame) -> DataFrame:
 
 def conversation_message_counts(traces_processed: DataFrame) -> DataFrame:
     """Messages per conversation and day."""
-    return _with_day(CONVERSATION_DAYS.partial(traces_processed).withColumnRenamed("n", "message_count"))
+    return with_day(CONVERSATION_DAYS.partial(traces_processed).withColumnRenamed("n", "message_count"))
 
 
 def single_message_rate(message_counts: DataFrame) -> DataFrame:
@@ -368,7 +368,7 @@ def single_message_rate(message_counts: DataFrame) -> DataFrame:
 
 def traces_user_engagement(traces_processed: DataFrame) -> DataFrame:
     """Messages per user and day."""
-    return _with_day(
+    return with_day(
         USER_DAYS.partial(traces_processed).withColumnRenamed("n", "interaction_count")
     )
 
@@ -389,7 +389,7 @@ def traces_engagement_metrics(engagement: DataFrame) -> DataFrame:
 
 def traces_top_users(traces_processed: DataFrame) -> DataFrame:
     """Requests per user and day."""
-    return _with_day(
+    return with_day(
         USER_DAYS.partial(traces_processed).withColumnRenamed("n", "request_count")
     )
 
@@ -407,7 +407,7 @@ def top_users(requests: DataFrame, k: int = 10) -> DataFrame:
 def approx_usage(approx_days: DataFrame) -> DataFrame:
     """Estimated distinct counts per app and day from merged sketches."""
     estimate = lambda name: F.hll_sketch_estimate(name).alias(f"{name}_estimate")
-    return _with_day(approx_days.select(*DAY, *[estimate(name) for name in APPROX_DAYS.measures]))
+    return with_day(approx_days.select(*DAY, *[estimate(name) for name in APPROX_DAYS.measures]))
 
 
 DAILY_ROLLUPS: tuple[Rollup, ...] = (

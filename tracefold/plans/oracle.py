@@ -539,7 +539,7 @@ ORACLE: dict[str, str] = {
     # conversations
     "traces_conversations": _q(
         KNOWN,
-        f"select APP_ID, CONVERSATION_ID, EVENT_DATE, {_conversation_columns()} from known"
+        f"select APP_ID, CONVERSATION_ID, EVENT_DATE, EVENT_DATE as day, {_conversation_columns()} from known"
         " group by APP_ID, CONVERSATION_ID, EVENT_DATE",
     ),
     "traces_conversations_view": _CONVERSATION_VIEW,
