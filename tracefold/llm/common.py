@@ -54,16 +54,15 @@ def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
-def join_by_id(docs: DataFrame, found: DataFrame, how: str = "inner") -> DataFrame:
-    """`docs` with the other columns of `found`, joined by doc_id, NULL equal to NULL.
+def join_by_id(docs: DataFrame, found: DataFrame, how: str = "inner", key: str = "doc_id") -> DataFrame:
+    """`docs` with the other columns of `found`, joined by `key`, NULL equal to NULL.
 
-    `found` (narrow, a row per doc_id) is written first. It is broadcast only if
-    it has at most BROADCAST_ROWS rows; beyond that both sides are shuffled.
+    `found` (narrow, a row per key) is written first. It is broadcast only if it
+    has at most BROADCAST_ROWS rows; beyond that both sides are shuffled.
     """
-    right = saved(found.withColumnRenamed("doc_id", "_id"), "found")
+    right = saved(found.withColumnRenamed(key, "_key"), "found")
     small = right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    joined = docs.join(F.broadcast(right) if small else right, same(docs["doc_id"], right["_id"]), how)
-    return joined.drop("_id")
+    return docs.join(F.broadcast(right) if small else right, same(docs[key], right["_key"]), how).drop("_key")
 
 
 def components(edges: DataFrame) -> DataFrame:
