@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import linededup, mixing, quality, sentencepiece_fst, simhash
+from . import chat, embeddings, linededup, mixing, neighbours, quality, repeats, secrets, sentencepiece_fst, simhash
 
 QUERIES = {
+    "op1_embedding_dedup": embeddings.op1_embedding_dedup,
     "op2_quality": quality.op2_quality,
     "op3_mixing": mixing.op3_mixing,
+    "op4_repeats": repeats.op4_repeats,
+    "op5_secrets": secrets.op5_secrets,
     "op6_sentencepiece": sentencepiece_fst.op6_sentencepiece,
     "op7_simhash": simhash.op7_simhash,
+    "op8_chat": chat.op8_chat,
+    "op9_neighbours": neighbours.op9_neighbours,
     "op10_line_dedup": linededup.op10_line_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {"op3_mixing": mixing.OP3_SQL, "op8_chat": chat.OP8_SQL}
