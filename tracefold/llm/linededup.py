@@ -76,9 +76,32 @@ def within(a: Column, b: Column, tau: int) -> Column:
     down where it is inserted, one up where a character of `a` is left out.
     The bands lie side by side in one long.
     """
-    # transform binds the split strings to a variable; else every step would split them again
-    both = F.array(F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b")))
-    return F.transform(both, lambda c: _within(c["a"], c["b"], tau))[0]
+    # transform binds what it is given to a variable; else every step would make it again
+    both = F.array(F.struct(a.alias("a"), b.alias("b")))
+    rest = F.transform(both, lambda s: _without_prefix(s["a"], s["b"]))
+    chars = F.transform(rest, lambda s: F.struct(_chars(s["a"]).alias("a"), _chars(s["b"]).alias("b")))
+    return F.transform(chars, lambda c: _within(c["a"], c["b"], tau))[0]
+
+
+def _chars(text: Column) -> Column:
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))
+
+
+def _without_prefix(a: Column, b: Column) -> Column:
+    """Two strings without the characters they start with alike, found by halving steps."""
+    steps = F.array(*(F.lit(1 << k) for k in range(30, -1, -1)))
+    shorter = F.least(F.char_length(a), F.char_length(b))
+    common = F.aggregate(
+        F.filter(steps, lambda w: w <= shorter),
+        F.lit(0),
+        lambda n, w: F.when(
+            (n + w <= shorter) & (F.substring(a, n + 1, w) == F.substring(b, n + 1, w)), n + w
+        ).otherwise(n),
+    )
+    rest = F.transform(F.array(common), lambda n: F.struct(
+        F.substring(a, n + 1, F.char_length(a)).alias("a"), F.substring(b, n + 1, F.char_length(b)).alias("b")
+    ))
+    return rest[0]
 
 
 def _within(a: Column, b: Column, tau: int) -> Column:
@@ -122,21 +145,41 @@ def _within(a: Column, b: Column, tau: int) -> Column:
     return F.coalesce(F.shiftright(last, tau * width).bitwiseAND(wanted) != 0, F.lit(False))
 
 
+#: Characters whose numbers a sketch holds, two bits each.
+SKETCHED = "etaoinshrdlucmfwypvbgk .,0123"
+
+
+def sketch(line: str) -> Column:
+    """Numbers of some characters modulo 4, in a code where one more or less changes one bit.
+
+    An edit adds one character, drops one or does both, so two bits a line at most.
+    """
+    size, out = F.char_length(line), F.lit(0).cast("long")
+    code = F.array(*(F.lit(x).cast("long") for x in (0, 1, 3, 2)))
+    for k, char in enumerate(SKETCHED):
+        number = size - F.char_length(F.replace(F.col(line), F.lit(char), F.lit("")))
+        out = out.bitwiseOR(F.shiftleft(F.get(code, number % 4), 2 * k))
+    return out
+
+
 def links(found: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
     """(id, id2, other, other2): different lines within `tau` edits, both ways round, from (line, ...)."""
     long_lines = found.where(F.char_length("line") >= min_chars).select(*_identity("line"), "line")
     signed = long_lines.select(
         "id", F.explode(keys(F.col("line"), F.char_length("line"), tau)).alias("k")
     ).select("id", "k.key", "k.indexed")
-    once = saved(signed.groupBy("key", "id").agg(F.max("indexed").alias("indexed")), "segments")
-    met = once.groupBy("key").agg(F.max("indexed").alias("any"), F.count("*").alias("n")).where("any and n > 1")
-    met = once.join(met.select("key"), "key")
-    probe = met.select("key", F.col("id").alias("x"))
-    held = met.where("indexed").select("key", F.col("id").alias("y"))
-    pairs = probe.join(held, "key").where("x <> y")
+    # Few keys are met by different lines, so the keys are made twice rather than kept.
+    met = signed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("indexed").alias("any"))
+    held = join_by_id(signed, met.where("any and low <> high").select("key"), key="key")
+    held = saved(held.groupBy("key", "id").agg(F.max("indexed").alias("indexed")), "segments")
+    wanted = join_by_id(long_lines, held.select("id").distinct(), key="id")
+    texts = saved(wanted.groupBy("id", "id2").agg(F.min("line").alias("line")).withColumn("sketch", sketch("line")), "texts")
+    held = held.join(texts.select("id", "sketch").distinct(), "id")
+    probe = held.select("key", F.col("id").alias("x"), F.col("sketch").alias("p"))
+    index = held.where("indexed").select(F.col("key").alias("same"), F.col("id").alias("y"), F.col("sketch").alias("q"))
+    alike = F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= 2 * tau
+    pairs = probe.join(index, (F.col("key") == F.col("same")) & (F.col("x") != F.col("y")) & alike)
     pairs = saved(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "candidates")
-    needed = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
-    texts = saved(long_lines.join(needed, "id", "left_semi").distinct(), "texts")
     left = texts.select(F.col("id").alias("x"), F.col("id2").alias("x2"), F.col("line").alias("a"))
     right = texts.select(F.col("id").alias("y"), F.col("id2").alias("y2"), F.col("line").alias("b"))
     close = (
