@@ -50,7 +50,7 @@ def segments(length: Column, tau: int) -> list[tuple[Column, Column]]:
 
 
 def keys(line: Column, length: Column, tau: int) -> Column:
-    """Array of (key, indexed): the line's own segments and the substrings it probes with.
+    """Hashes of the line's own segments, odd, and of the substrings it probes with, even.
 
     A probe for length n - d and segment i starts within i edits of the segment's
     start on the left, and within tau - i edits of it, shifted by d, on the right:
@@ -62,8 +62,8 @@ def keys(line: Column, length: Column, tau: int) -> Column:
             low, high = max(-i, d - (tau - i)), min(i, d + (tau - i))
             for shift in range(low, high + 1):
                 part = F.substring(line, start + shift, size)
-                key = F.xxhash64(length - d, F.lit(i), part)
-                out.append(F.struct(key.alias("key"), F.lit(d == 0 and shift == 0).alias("indexed")))
+                key = F.shiftleft(F.xxhash64(length - d, F.lit(i), part), 1)
+                out.append(key + F.lit(int(d == 0 and shift == 0)).cast("long"))
     return F.array(*out)
 
 
@@ -167,16 +167,16 @@ def links(found: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataF
     long_lines = found.where(F.char_length("line") >= min_chars).select(*_identity("line"), "line")
     signed = long_lines.select(
         "id", F.explode(keys(F.col("line"), F.char_length("line"), tau)).alias("k")
-    ).select("id", "k.key", "k.indexed")
+    ).select("id", F.shiftright("k", 1).alias("key"), F.col("k").bitwiseAND(F.lit(1).cast("long")).alias("indexed"))
     # Few keys are met by different lines, so the keys are made twice rather than kept.
     met = signed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("indexed").alias("any"))
-    held = join_by_id(signed, met.where("any and low <> high").select("key"), key="key")
+    held = join_by_id(signed, met.where("any = 1 and low <> high").select("key"), key="key")
     held = saved(held.groupBy("key", "id").agg(F.max("indexed").alias("indexed")), "segments")
     wanted = join_by_id(long_lines, held.select("id").distinct(), key="id")
     texts = saved(wanted.groupBy("id", "id2").agg(F.min("line").alias("line")).withColumn("sketch", sketch("line")), "texts")
     held = held.join(texts.select("id", "sketch").distinct(), "id")
     probe = held.select("key", F.col("id").alias("x"), F.col("sketch").alias("p"))
-    index = held.where("indexed").select(F.col("key").alias("same"), F.col("id").alias("y"), F.col("sketch").alias("q"))
+    index = held.where("indexed = 1").select(F.col("key").alias("same"), F.col("id").alias("y"), F.col("sketch").alias("q"))
     alike = F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= 2 * tau
     pairs = probe.join(index, (F.col("key") == F.col("same")) & (F.col("x") != F.col("y")) & alike)
     pairs = saved(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "candidates")
