@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_by_id, same, saved, table
+from .common import WORD, join_by_id, same, saved, table
 
 TAU = 2
 MIN_CHARS = 32
@@ -215,10 +215,11 @@ def dedup(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFr
 
     A document that had no text to begin with stays as it is.
     """
-    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("removed", i))
-    joined = join_by_id(docs, removed_lines(docs, tau, min_chars), "left")
-    cut = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = joined.withColumn("text", cut).where(F.col("removed").isNull() | (F.trim("text") != "")).drop("removed")
+    gone = removed_lines(docs, tau, min_chars).withColumnRenamed("removed", "_removed")
+    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_removed", i))
+    cut = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    out = join_by_id(docs, gone, "left").withColumn("text", cut)
+    out = out.where(F.col("_removed").isNull() | F.col("text").rlike(WORD)).drop("_removed")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -19,8 +19,8 @@ state before each run of blanks: words are independent, and their paths are kept
 Encoding gives what the reference library gives for the same model file. NULL and
 empty texts have no ids; decoding NULL or no ids gives the empty text. Decoding
 restores a text unless it held the blank mark itself. Models with a character map
-or user-defined symbols are refused. Other columns pass through; the added ones
-are `ids` and `decoded`, which must not be taken.
+or user-defined symbols are refused. Other columns pass through; a column that has
+the name of the added one, `ids` or `decoded`, is replaced.
 """
 
 from __future__ import annotations
@@ -278,6 +278,7 @@ class _Shared:
 def encode(docs: DataFrame, model: Model | str = MODEL) -> DataFrame:
     """`docs` with `ids array<int>`."""
     model = Model.read(model) if isinstance(model, str) else model
+    docs = docs.drop("ids")
     shared, at = _Shared(docs.sparkSession, model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,6 +297,7 @@ def encode(docs: DataFrame, model: Model | str = MODEL) -> DataFrame:
 def decode(rows: DataFrame, model: Model | str = MODEL) -> DataFrame:
     """`rows` (with ids) with `decoded string`."""
     model = Model.read(model) if isinstance(model, str) else model
+    rows = rows.drop("decoded")
     shared, at = _Shared(rows.sparkSession, model), rows.columns.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
