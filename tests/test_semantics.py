@@ -192,6 +192,12 @@ def test_supplied_defaults_win(spark):
     assert rows[0].hour == "2024-01-01 00:01:01" and rows[1].sensitive_data_types == []
 
 
+def test_rows_without_a_date_are_kept(spark):
+    rows = spark.createDataFrame([(1, "2020-01-01"), (2, None), (3, "2024-01-01")], "id int, d string")
+    kept = tables.apply_retention(rows.withColumn("d", F.to_date("d")), "d", "12 MONTHS", "2024-01-20 00:00:00")
+    assert {r.id for r in kept.collect()} == {2, 3}
+
+
 def test_retention_and_pruning(spark, tmp_path):
     df = spark.createDataFrame([("2023-01-19",), ("2023-01-20",), ("2023-01-21",), ("2024-01-01",)], "d string")
     df = df.withColumn("d", F.to_date("d"))

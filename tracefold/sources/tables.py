@@ -60,13 +60,14 @@ def between_dates(df: DataFrame, date: str, first: str, last: str) -> DataFrame:
 
 
 def apply_retention(df: DataFrame, date: str, keep: str, as_of: str | Column) -> DataFrame:
-    """Rows not yet expired: date + keep > as_of.
+    """Rows not yet expired: date + keep > as_of. Rows without a date have no age and stay.
 
     On a table partitioned by month, months that are over are not read.
     """
-    kept = df.filter(F.col(date).cast("timestamp") + F.expr(f"INTERVAL {keep}") > _moment(as_of))
+    moment = F.col(date).cast("timestamp")
+    kept = df.filter(moment.isNull() | (moment + F.expr(f"INTERVAL {keep}") > _moment(as_of)))
     if "yyyymm" in df.columns:
-        kept = kept.filter(F.col("yyyymm") >= month_of(_oldest(as_of, keep)))
+        kept = kept.filter(F.col("yyyymm").isNull() | (F.col("yyyymm") >= month_of(_oldest(as_of, keep))))
     return kept
 
 
