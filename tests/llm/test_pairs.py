@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tracefold.llm import embeddings, linededup, neighbours, simhash
 from tracefold.llm.common import components
@@ -189,7 +190,7 @@ def test_neighbours_recall(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(base)] + [(500 + i, base[7].tolist()) for i in range(40)]
     odd = [None, [0.0] * 12, [float("inf")] * 12, [None] * 12, [1.0, 2.0]]
     df = spark.createDataFrame(rows + [(600 + k, v) for k, v in enumerate(odd)], "vec_id long, embedding array<double>")
-    got = neighbours.nearest(df, df["vec_id"] % 20 == 0).collect()
+    got = neighbours.nearest(df, F.col("vec_id") % 20 == 0).collect()
     ids, m = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
     hits = 0
     for q in ids[ids % 20 == 0]:
@@ -202,6 +203,6 @@ def test_neighbours_recall(spark):
         assert all(abs(d[r.vec_id] - r.score) < 1e-9 for r in mine)
         hits += len({r.vec_id for r in mine} & set(ids[best].tolist()))
     assert hits >= 0.9 * 10 * (ids % 20 == 0).sum()
-    few = neighbours.nearest(df.where("vec_id < 4"), df["vec_id"] == 0).collect()
+    few = neighbours.nearest(df.where("vec_id < 4"), F.col("vec_id") == 0).collect()
     assert {r.vec_id for r in few} == {1, 2, 3}
-    assert neighbours.nearest(df.limit(0), df["vec_id"] == 0).count() == 0
+    assert neighbours.nearest(df.limit(0), F.col("vec_id") == 0).count() == 0
