@@ -15,7 +15,8 @@ from tracefold.sources import tables
 EAGER = {
     "ingest_traces", "ingest_traces_processed", "ingest_metrics", "ingest_discover_events", "ingest_stream",
     "monthly_layout_write", "skip_index_layout", "snapshot_export", "incremental_rollup",
-    "incremental_conversations", "incremental_topics", "incremental_agent_tables", "streaming_daily_counts",
+    "incremental_conversations", "incremental_classifiers", "incremental_topics", "incremental_agent_tables",
+    "incremental_tool_requests", "streaming_daily_counts",
 }
 LAZY = sorted(set(contract.queries()) - EAGER)
 
@@ -102,12 +103,6 @@ def test_ranking_is_limited_before_the_shuffle(table):
     assert "WindowGroupLimit" in plan(usage.top_users(usage.traces_top_users(table), 3))
 
 
-def test_only_long_conversations_are_broadcast_by_hint(table, apps):
-    long = conversations.conversation_classifiers(table, apps)
-    text = plan(conversations._classifier_text(long, conversations.CONVERSATION, 10))
-    assert "LeftAnti BuildRight" in text or "BroadcastHashJoin" in text
-
-
 # --- hot keys -----------------------------------------------------------------------------
 
 
@@ -141,11 +136,10 @@ def test_hot_usage(hot, apps):
 def test_hot_conversation(hot, apps):
     state = conversations.CONVERSATIONS.partial(hot, apps)
     texts = conversations.conversation_classifiers(hot, apps)
-    view = conversations.traces_conversations_view(state, texts, max_messages=100)
+    view = conversations.traces_conversations_view(state)
     row = view.filter("CONVERSATION_ID = 'hot'").first()
     rows = hot.filter("CONVERSATION_ID = 'hot' and TASK = 'message'")
     assert row.DIALOGUE_VOLUME == rows.count() > 100
-    assert row.OUTPUT_CLASSIFIERS is None
     assert texts.filter("CONVERSATION_ID = 'hot'").count() == rows.count()
 
 
@@ -164,7 +158,7 @@ def test_stored_spans_are_read_by_kind(spark, sf_dir, tmp_path):
     text = plan(agents.tool_requests(spans.write_spans(documents, str(tmp_path / "s"))))
     assert "EqualTo(kind,tool)" in text and "EqualTo(kind,workflow)" in text
     parent = min(_read_columns(text), key=len)
-    assert parent == {"team_id", "trace_id", "span_id", "kind", "agent_name"}
+    assert parent == {"team_id", "trace_id", "span_id", "kind", "agent_name", "ingested_at"}
 
 
 def test_hot_parent_span(spark):

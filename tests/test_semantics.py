@@ -272,26 +272,23 @@ def test_polarity_is_checked(spark, sf_dir):
         topics.kpi_topics_1d_view(None, None, None, None, denominator="x")
 
 
-def test_long_conversations_keep_all_rows(spark, sf_dir):
-    """Over the limit the text cell is NULL and the long form has every row."""
+def test_classifier_lists_hold_every_message(spark, sf_dir):
+    """Conversations of any length, the blank one too, have one row per message."""
     tp, apps = _tp(spark, sf_dir), derive.apps(derive.read(spark, sf_dir, "nation"))
-    state = conversations.CONVERSATIONS.partial(tp, apps)
-    texts = conversations.conversation_classifiers(tp, apps)
-    view = conversations.traces_conversations_view(state, texts, max_messages=3)
-    short = conversations.traces_conversations_view(state, texts).filter("DIALOGUE_VOLUME <= 3")
-    assert view.filter("DIALOGUE_VOLUME > 3 and OUTPUT_CLASSIFIERS is not null").count() == 0
-    assert view.filter("DIALOGUE_VOLUME > 3").count() > 0
-    columns = ["APP_ID", "CONVERSATION_ID", "OUTPUT_CLASSIFIERS"]
-    assert collected(view.filter("DIALOGUE_VOLUME <= 3"), columns) == collected(short, columns)
-    assert texts.count() == state.agg(F.sum("n")).first()[0]
+    tp = tp.withColumn("CONVERSATION_ID", F.when(F.hash("TRACE_ID") % 3 == 0, "").otherwise(F.col("CONVERSATION_ID")))
+    volumes = conversations.traces_conversations_view(conversations.CONVERSATIONS.partial(tp, apps))
+    texts = conversations.conversation_classifiers(tp, apps).groupBy("APP_ID", "CONVERSATION_ID").count()
+    columns = ["APP_ID", "CONVERSATION_ID", "DIALOGUE_VOLUME"]
+    assert collected(texts.withColumnRenamed("count", "DIALOGUE_VOLUME"), columns) == collected(volumes, columns)
+    assert volumes.filter("CONVERSATION_ID = ''").count() > 0
 
 
 # --- agents -------------------------------------------------------------------------------------
 
 
-def _document(spans_, team="t1", ingested=NOW, **extra):
+def _document(spans_, team="t1", ingested=NOW, trace="tr", **extra):
     return (json.dumps({"team_id": team, "resource": {"library_name": "lib"},
-                        "traces": [{"trace_id": "tr", "spans": spans_}], **extra}), ingested)
+                        "traces": [{"trace_id": trace, "spans": spans_}], **extra}), ingested)
 
 
 def _spans(spark, *documents, **options):
@@ -350,10 +347,34 @@ def test_request_status(spark, output, status, expected, approved):
 ])
 def test_guardian_score(spark, output, score):
     row = one(agents.guardian_invocations(_spans(spark, _document([_agent("s0"), _call("s1", "s0", output + "x" * 600)]))))
-    assert row.risk_score == pytest.approx(score, rel=1e-6) and len(row.reason) == 500
+    assert row.risk_score == pytest.approx(score, rel=1e-6) and row.reason == output + "x" * 600
     assert row.metadata == '{"tool": "f1"}'
 
 
+def test_blank_ids_link_nothing(spark):
+    """Spans without ids are nobody's parent; blank parents are no parent."""
+    spans_ = [_agent("", f"a{i}") for i in range(5)] + [_call("", "", fn=f"f{i}") for i in range(5)]
+    df = _spans(spark, _document(spans_))
+    assert agents.tool_requests(df).count() == agents.agent_dependencies(df).count() == 0
+    assert agents.agent_tool_permissions(df).count() == 0
+    assert agents.agent_requests(df).count() == 5
+    named = _spans(spark, _document([_agent("s0"), _call("", "s0"), _call("", "s0")]))
+    assert agents.tool_requests(named).count() == 2
+
+
+def test_redelivered_spans_count_once(spark):
+    """A span that comes again replaces its older row, parents too."""
+    first = _document([_agent("s0", "old"), _agent("s2", "aide", "s0"), _call("s1", "s0", "jailbreak")])
+    again = _document([_agent("s0", "new"), _agent("s2", "aide", "s0"), _call("s1", "s0", "jailbreak x")],
+                      ingested="2024-01-14 12:00:00")
+    df = _spans(spark, first, first, again)
+    assert collected(agents.tool_requests(df), ["agent_id", "response_data"]) == ["('new', 'jailbreak x')"]
+    assert collected(agents.guardian_invocations(df), ["agent_id", "reason"]) == ["('new', 'jailbreak x')"]
+    assert collected(agents.agent_requests(df), ["agent_id", "parent_agent_id"]) == ["('aide', 'new')", "('new', '')"]
+    assert collected(agents.agent_dependencies(df), ["source_agent_id", "target_id", "connection_count"]) == [
+        "('new', 'aide', 2)", "('new', 'f1', 2)"]
+
+
 def test_latest_child_wins(spark):
     llm = lambda id_, at, text: {"id": id_, "parent_id": "s0", "kind": "llm", "started_at": at,
                                  "attributes": {"input": text, "output": text}}
@@ -386,14 +407,14 @@ def test_agent_view_defaults_and_windows(spark):
     df = _spans(
         spark,
         _document([_agent("s0"), _call("s1", "s0", "jailbreak")], ingested="2024-01-13 11:00:00"),
-        _document([_agent("s0"), _call("s1", "s0")], ingested="2024-01-01 11:00:00"),
+        _document([_agent("s0"), _call("s1", "s0")], ingested="2024-01-01 11:00:00", trace="earlier"),
         _document([_agent("s9", "idle")], team="t2", ingested="2023-01-01 00:00:00"),
     )
     view = agent_views.v_agents_with_metrics(
         agents.agents(df), agents.guardian_invocations(df), agents.agent_requests(df), agents.agent_tool_permissions(df), NOW)
     columns = ["agent_id", "guardian_invocations_24h", "requests_24h", "requests_total", "allowed_tools"]
-    assert collected(view, columns) == ["('a1', 2, 1, 2, ['f1'])", "('idle', 0, 0, 1, [])"]
+    assert collected(view, columns) == ["('a1', 1, 1, 2, ['f1'])", "('idle', 0, 0, 1, [])"]
     permissions = one(agent_views.v_agent_permissions_with_metrics(agents.agent_tool_permissions(df), agents.tool_requests(df), NOW))
-    assert (permissions.requests_24h, permissions.requests_1m, permissions.approved) == (2, 4, True)
+    assert (permissions.requests_24h, permissions.requests_1m, permissions.approved) == (1, 2, True)
     graph = one(agent_views.v_agent_dependency_graph(agents.agent_dependencies(df), NOW))
     assert (graph.target_id, graph.connection_count) == ("f1", 2)

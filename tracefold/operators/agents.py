@@ -1,10 +1,18 @@
 """Agent registry, tools, permissions, requests and dependencies from spans.
 
-Spans are joined to their parents on (team, trace, span id). Permissions need
-only the distinct pairs, so their child side is aggregated before the join and
-a parent with very many children meets it as a few rows. Requests keep every
-child as an output row: those are plain equi joins, which adaptive execution
-splits when one parent is hot.
+Spans are joined to their parents on (team, trace, span id). Two rules keep the
+joins linear however documents are delivered:
+
+* A span delivered again counts once, as its newest row (largest `ingested_at`,
+  then document and position). Parents are reduced to one narrow row per span id
+  before they are joined.
+* A blank id names nothing: a span without an id is nobody's parent and is told
+  from others by its place in its document; a blank parent id has no parent.
+
+Permissions need only the distinct pairs, so their child side is aggregated
+before the join and a parent with very many children meets it as a few rows.
+Requests keep every child as an output row: those are plain equi joins, which
+adaptive execution splits when one parent is hot.
 """
 
 from __future__ import annotations
@@ -20,21 +28,37 @@ PERMISSION = ["team_id", "agent_id", "tool_id"]
 DEPENDENCY = ["team_id", "source_agent_id", "target_type", "target_id"]
 
 _PARENT = ["team_id", "trace_id", "parent_id"]
+_SPAN = ["team_id", "trace_id", "span_id"]
 
 
 def _kind(spans: DataFrame, kind: str) -> DataFrame:
     return spans.filter(F.col("kind") == kind)
 
 
-def _workflows(spans: DataFrame) -> DataFrame:
-    """Workflow spans as join partners of their children."""
-    return _kind(spans, "workflow").select(
-        "team_id", "trace_id", F.col("span_id").alias("parent_id"), F.col("agent_name").alias("agent_id")
+def _once(spans: DataFrame) -> DataFrame:
+    """The newest row of every span; blank ids are told apart by their place."""
+    place = F.when(F.col("span_id") == "", F.concat_ws("/", "doc_id", "position")).otherwise("")
+    rows = latest_by_version(
+        spans.withColumn("place", place), [*_SPAN, "place"], "ingested_at", ["doc_id", "position"]
     )
+    return rows.drop("place")
+
+
+def _children(spans: DataFrame) -> DataFrame:
+    return spans.filter(F.col("parent_id") != "")
 
 
 def _named_workflows(spans: DataFrame) -> DataFrame:
-    return _workflows(spans).filter(F.col("agent_id") != "")
+    """Named agents by span id, as join partners of their children."""
+    newest = F.max(F.struct("ingested_at", "agent_name")).alias("newest")
+    return (
+        _kind(spans, "workflow")
+        .filter(F.col("span_id") != "")
+        .groupBy("team_id", "trace_id", F.col("span_id").alias("parent_id"))
+        .agg(newest)
+        .select(*_PARENT, F.col("newest.agent_name").alias("agent_id"))
+        .filter(F.col("agent_id") != "")
+    )
 
 
 def _const(**values: str) -> list[Column]:
@@ -80,7 +104,7 @@ def tools(spans: DataFrame) -> DataFrame:
 def agent_tool_permissions(spans: DataFrame) -> DataFrame:
     """Newest permission per agent and tool: every use counts as approved."""
     uses = (
-        _kind(spans, "tool")
+        _children(_kind(spans, "tool"))
         .filter(F.col("function_name") != "")
         .groupBy(*_PARENT, F.col("function_name").alias("tool_id"))
         .agg(F.max("ingested_at").alias("updated_at"))
@@ -122,7 +146,7 @@ def tool_requests(spans: DataFrame) -> DataFrame:
     """
     failed = _mentions("output", "error")
     blocked = _mentions("output", *BLOCKED_TEXTS)
-    calls = _kind(spans, "tool").filter(F.col("called_name") != "")
+    calls = _once(_children(_kind(spans, "tool"))).filter(F.col("called_name") != "")
     return calls.join(_named_workflows(spans), _PARENT).select(
         "team_id",
         F.col("span_id").alias("request_id"),
@@ -154,8 +178,8 @@ def agent_dependencies(spans: DataFrame) -> DataFrame:
     that contain the edge.
     """
     seen = ["ingested_at", "doc_id"]
-    parents = _workflows(spans).filter(F.col("agent_id") != "").withColumnRenamed("agent_id", "source_agent_id")
-    children = spans.filter(F.col("kind").isin("workflow", "tool")).select(
+    parents = _named_workflows(spans).withColumnRenamed("agent_id", "source_agent_id")
+    children = _children(spans).filter(F.col("kind").isin("workflow", "tool")).select(
         *_PARENT,
         "kind",
         "span_id",
@@ -173,8 +197,10 @@ def agent_dependencies(spans: DataFrame) -> DataFrame:
         *seen,
     )
 
-    bridges = linked.filter(F.col("kind") == "tool").select(
-        "team_id", "trace_id", F.col("span_id").alias("parent_id"), "source_agent_id"
+    bridges = (
+        linked.filter((F.col("kind") == "tool") & (F.col("span_id") != ""))
+        .select("team_id", "trace_id", F.col("span_id").alias("parent_id"), "source_agent_id")
+        .distinct()
     )
     callees = children.filter(F.col("kind") == "workflow").select(*_PARENT, "target_id", *seen)
     through_tool = (
@@ -197,15 +223,14 @@ def agent_dependencies(spans: DataFrame) -> DataFrame:
 # Score texts in a refusal, strongest first, and the score without one. Fixed values.
 RISK_SCORES = (("score 0.97", 0.97), ("score 0.95", 0.95), ("score 0.90", 0.90))
 RISK_DEFAULT = 0.85
-REASON_CHARS = 500
 
 
 def guardian_invocations(spans: DataFrame) -> DataFrame:
-    """Blocked tool calls as security checks."""
+    """Blocked tool calls as security checks; the reason is the call's whole output."""
     risk = F.lit(RISK_DEFAULT)
     for text, score in reversed(RISK_SCORES):
         risk = F.when(F.col("output").contains(text), score).otherwise(risk)
-    calls = _kind(spans, "tool").filter(_mentions("output", *BLOCKED_TEXTS))
+    calls = _once(_children(_kind(spans, "tool"))).filter(_mentions("output", *BLOCKED_TEXTS))
     return calls.join(_named_workflows(spans), _PARENT).select(
         "team_id",
         F.concat(F.lit("guard_"), "span_id").alias("invocation_id"),
@@ -213,7 +238,7 @@ def guardian_invocations(spans: DataFrame) -> DataFrame:
         "agent_id",
         *_const(check_type="jailbreak_detection", result="blocked"),
         risk.cast("float").alias("risk_score"),
-        F.substring("output", 1, REASON_CHARS).alias("reason"),
+        F.col("output").alias("reason"),
         F.concat(F.lit('{"tool": "'), "function_name", F.lit('"}')).alias("metadata"),
         F.col("ingested_at").alias("timestamp"),
         F.to_date("ingested_at").alias("date"),
@@ -223,11 +248,11 @@ def guardian_invocations(spans: DataFrame) -> DataFrame:
 def agent_requests(spans: DataFrame) -> DataFrame:
     """Every run of a named agent, with the input and output of its last LLM
     child span and the agent that called it."""
-    runs = _kind(spans, "workflow").filter(F.col("agent_name") != "")
+    runs = _once(_kind(spans, "workflow")).filter(F.col("agent_name") != "")
     callers = _named_workflows(spans).withColumnRenamed("agent_id", "parent_agent_id")
     llm = (
         _kind(spans, "llm")
-        .filter(F.col("parent_id") != "")
+        .filter(F.col("parent_id") != "")  # so a run without an id meets none
         .groupBy("team_id", "trace_id", F.col("parent_id").alias("span_id"))
         .agg(F.max(F.struct("started_at", "input", "output")).alias("latest"))
         .select(

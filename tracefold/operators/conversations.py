@@ -9,15 +9,12 @@ from pyspark.sql import functions as F
 
 from tracefold.functions.numbers import ratio
 from tracefold.functions.timeparts import minutes, second_of
-from tracefold.operators.rollup import Rollup
+from tracefold.operators.rollup import Kept, Rollup
 from tracefold.operators.usage import messages, with_day
 
 CONVERSATION = ("APP_ID", "CONVERSATION_ID")
 CONVERSATION_DAY = (*CONVERSATION, "EVENT_DATE")
 
-# Longest conversation whose classifier texts are joined into one cell.
-MAX_TEXT_MESSAGES = 250_000
-
 _LAST = ("USER_ID", "SESSION_ID", "DEVICE", "OS", "BROWSER", "LOCALE", "LOCATION", "CHANNEL_ID")
 _SPREADS = {
     "NUM_WORDS_PROMPT": "NUM_WORDS_PROMPT",
@@ -105,64 +102,31 @@ def finish_conversations(state: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def conversation_classifiers(traces_processed: DataFrame, apps: DataFrame) -> DataFrame:
-    """Classifier text of every message, in long form.
-
-    This is the whole classifier list of a conversation at any length: one row
-    per message, to be read in (START_TIMESTAMP, INTERACTION_ID) order.
-    """
+def _classifier_rows(traces_processed: DataFrame, apps: DataFrame) -> DataFrame:
     known = apps.select(F.col("id").alias("APP_ID"))
-    return messages(traces_processed).join(known, "APP_ID", "left_semi").select(
-        *CONVERSATION_DAY, "START_TIMESTAMP", "INTERACTION_ID", "OUTPUT_CLASSIFIERS"
-    )
+    return messages(traces_processed).join(known, "APP_ID", "left_semi")
+
 
+#: The classifier list of a conversation at any length: one row per message, to
+#: be read in (START_TIMESTAMP, INTERACTION_ID) order.
+CLASSIFIERS = Kept(
+    "conversation_classifiers",
+    (*CONVERSATION_DAY, "START_TIMESTAMP", "INTERACTION_ID"),
+    ("OUTPUT_CLASSIFIERS",),
+    _classifier_rows,
+)
 
-def _classifier_text(classifiers: DataFrame, keys: Sequence[str], max_messages: int) -> DataFrame:
-    """Classifier texts joined per key, as the text of a JSON array.
 
-    A cell cannot hold a conversation of any length. Keys with more than
-    `max_messages` rows are therefore left to `conversation_classifiers`, which
-    has all their rows; at most (all rows / max_messages) keys can be that
-    long, which bounds the broadcast list of them.
-    """
-    long_keys = classifiers.groupBy(*keys).count().filter(F.col("count") > max_messages).select(*keys)
-    parts = F.sort_array(F.collect_list(F.struct("START_TIMESTAMP", "INTERACTION_ID", "OUTPUT_CLASSIFIERS")))
-    return (
-        classifiers.join(F.broadcast(long_keys), list(keys), "left_anti")
-        .groupBy(*keys)
-        .agg(parts.alias("parts"))
-        .select(
-            *keys,
-            F.concat(F.lit("["), F.array_join("parts.OUTPUT_CLASSIFIERS", ","), F.lit("]")).alias("OUTPUT_CLASSIFIERS"),
-        )
-    )
+def conversation_classifiers(traces_processed: DataFrame, apps: DataFrame) -> DataFrame:
+    """Classifier text of every message, in long form (see `CLASSIFIERS`)."""
+    return CLASSIFIERS.partial(traces_processed, apps)
+
+
+def traces_conversations(traces_processed: DataFrame, apps: DataFrame) -> DataFrame:
+    """Conversations per day; their classifier lists are `conversation_classifiers`."""
+    return with_day(finish_conversations(CONVERSATIONS.partial(traces_processed, apps), CONVERSATION_DAY))
 
 
-def _with_text(
-    conversations: DataFrame, classifiers: DataFrame | None, keys: Sequence[str], max_messages: int
-) -> DataFrame:
-    if classifiers is None:
-        return conversations
-    return conversations.join(_classifier_text(classifiers, keys, max_messages), list(keys), "left")
-
-
-def traces_conversations(
-    traces_processed: DataFrame,
-    apps: DataFrame,
-    classifier_text: bool = True,
-    max_messages: int = MAX_TEXT_MESSAGES,
-) -> DataFrame:
-    """Conversations per day."""
-    finished = finish_conversations(CONVERSATIONS.partial(traces_processed, apps), CONVERSATION_DAY)
-    classifiers = conversation_classifiers(traces_processed, apps) if classifier_text else None
-    return with_day(_with_text(finished, classifiers, CONVERSATION_DAY, max_messages))
-
-
-def traces_conversations_view(
-    state: DataFrame,
-    classifiers: DataFrame | None = None,
-    max_messages: int = MAX_TEXT_MESSAGES,
-) -> DataFrame:
-    """Whole conversations from per-day states and long-form classifiers."""
-    finished = finish_conversations(CONVERSATIONS.merge(state, CONVERSATION), CONVERSATION)
-    return _with_text(finished, classifiers, CONVERSATION, max_messages)
+def traces_conversations_view(state: DataFrame) -> DataFrame:
+    """Whole conversations from per-day states."""
+    return finish_conversations(CONVERSATIONS.merge(state, CONVERSATION), CONVERSATION)

@@ -59,6 +59,25 @@ class Rollup:
         ])
 
 
+@dataclass(frozen=True)
+class Kept:
+    """Rows stored beside roll-ups as they are, for lists that no cell can hold.
+
+    `keys` order the rows; they need not be unique. Merging changes nothing.
+    """
+
+    name: str
+    keys: tuple[str, ...]
+    measures: tuple[str, ...]
+    rows: Callable[..., DataFrame] = field(default=lambda df: df)
+
+    def partial(self, df: DataFrame, *others: DataFrame) -> DataFrame:
+        return self.merge(self.rows(df, *others))
+
+    def merge(self, state: DataFrame) -> DataFrame:
+        return state.select(*self.keys, *self.measures)
+
+
 def _aggregate(df: DataFrame, keys: Sequence[str], measures: list[Column]) -> DataFrame:
     return df.groupBy(*keys).agg(*measures)
 

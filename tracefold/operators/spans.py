@@ -9,7 +9,7 @@ from tracefold.functions.json import json_array, json_float, json_str, parse
 
 
 def explode_spans(agent_traces: DataFrame, blank_as_null: bool = False) -> DataFrame:
-    """One row per span of every document's traces.
+    """One row per span of every document's traces; `doc_id` and `position` name its place.
 
     Each document is parsed once, into VARIANT; the fields of a span are then
     read by path. Documents that are not JSON give no span (see
@@ -40,18 +40,20 @@ def explode_spans(agent_traces: DataFrame, blank_as_null: bool = False) -> DataF
         "ingested_at",
         team.alias("team_id"),
         framework.alias("framework"),
-        F.explode(json_array("doc", "$.traces")).alias("trace"),
+        F.posexplode(json_array("doc", "$.traces")).alias("trace_no", "trace"),
     )
     spans = traces.select(
         "doc_id",
         "ingested_at",
         "team_id",
         "framework",
+        "trace_no",
         json_str("trace", "$.trace_id").alias("trace_id"),
-        F.explode(json_array("trace", "$.spans")).alias("span"),
+        F.posexplode(json_array("trace", "$.spans")).alias("span_no", "span"),
     )
     return spans.select(
         "doc_id",
+        F.concat_ws("/", "trace_no", "span_no").alias("position"),
         "ingested_at",
         "team_id",
         "framework",

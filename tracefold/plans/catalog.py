@@ -51,6 +51,12 @@ def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.explode_spans(_documents(spark, sf_dir))
 
 
+def _spans_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of documents that were all delivered twice."""
+    documents = _documents(spark, sf_dir)
+    return spans.explode_spans(documents.unionByName(documents))
+
+
 def _stored_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans as a written table, for operators that read them several times."""
     return spans.write_spans(_documents(spark, sf_dir), work_dir(spark, "spans"))
@@ -403,8 +409,7 @@ def traces_conversations_view(spark, sf_dir):
     tp, apps = _tp(spark, sf_dir), _apps(spark, sf_dir)
     # Whole conversations at once: per-day states would be shuffled a second time.
     state = conversations.CONVERSATIONS.partial(tp, apps, keys=conversations.CONVERSATION)
-    texts = conversations.conversation_classifiers(tp, apps)
-    return _lists_as_text(conversations.traces_conversations_view(state, texts))
+    return _lists_as_text(conversations.traces_conversations_view(state))
 
 
 @query
@@ -458,14 +463,14 @@ def kpi_topics_1d_view_polarity(spark, sf_dir):
 
 @query
 def explode_spans(spark, sf_dir):
-    return _spans(spark, sf_dir).drop("doc_id", "called_name")
+    return _spans(spark, sf_dir).drop("doc_id", "position", "called_name")
 
 
-def _agent_query(operator, source) -> None:
+def _agent_query(operator, source, suffix: str = "") -> None:
     def build(spark, sf_dir):
         return operator(source(spark, sf_dir))
 
-    query(build, operator.__name__)
+    query(build, operator.__name__ + suffix)
 
 
 for _operator in (
@@ -478,6 +483,10 @@ for _operator in (
     _agent_query(_operator, _spans)
 for _operator in (agents.agent_dependencies, agents.agent_requests):
     _agent_query(_operator, _stored_spans)
+for _operator in (
+    agents.tool_requests, agents.guardian_invocations, agents.agent_dependencies, agents.agent_requests
+):
+    _agent_query(_operator, _spans_twice, "_redelivered")
 
 
 @query
@@ -528,10 +537,23 @@ def gpt_usage_enriched(spark, sf_dir):
 # --- streaming ---------------------------------------------------------------------------------
 
 
+def _in_batches(spark: SparkSession, rows: DataFrame, path: str) -> DataFrame:
+    """Rows as a stream of several micro-batches, by way of stored files."""
+    rows.write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _late_events(spark: SparkSession, sf_dir: str, base: str) -> DataFrame:
+    """The event table cut by time, newest part first."""
+    rows = derive.read(spark, sf_dir, "events").repartitionByRange(3, F.desc("ts"))
+    return _in_batches(spark, rows, f"{base}/events")
+
+
 def _rollups(spark, sf_dir, name, rollups, sides=None) -> IncrementalRollups:
     """Run the whole event table through the roll-ups as a stream."""
-    tables_ = IncrementalRollups(work_dir(spark, name), rollups, sides or {})
-    _finish(tables_.start(derive.traces_processed(derive.read_stream(spark, sf_dir, "events"))))
+    base = work_dir(spark, name)
+    tables_ = IncrementalRollups(f"{base}/tables", rollups, sides or {})
+    _finish(tables_.start(derive.traces_processed(_late_events(spark, sf_dir, base))))
     return tables_
 
 
@@ -554,8 +576,16 @@ def incremental_conversations(spark, sf_dir):
     apps = _apps(spark, sf_dir)
     rollup = conversations.CONVERSATIONS
     stored = _rollups(spark, sf_dir, "incremental_conversations", (rollup,), {rollup.name: (apps,)})
-    texts = conversations.conversation_classifiers(_tp(spark, sf_dir), apps)
-    return _lists_as_text(conversations.traces_conversations_view(stored.partials(spark, rollup), texts))
+    return _lists_as_text(conversations.traces_conversations_view(stored.partials(spark, rollup)))
+
+
+@query
+def incremental_classifiers(spark, sf_dir):
+    """Classifier lists of conversations from streamed, folded rows."""
+    kept = conversations.CLASSIFIERS
+    stored = _rollups(spark, sf_dir, "incremental_classifiers", (kept,), {kept.name: (_apps(spark, sf_dir),)})
+    stored.compact(spark)
+    return stored.state(spark, kept)
 
 
 @query
@@ -569,18 +599,30 @@ def incremental_topics(spark, sf_dir):
 @query
 def incremental_agent_tables(spark, sf_dir):
     """Dependency graph from streamed agent tables."""
-    base = work_dir(spark, "incremental_agent_tables")
-    _documents(spark, sf_dir).write.parquet(f"{base}/documents")
-    schema = spark.read.parquet(f"{base}/documents").schema
-    stored = IncrementalAgentTables(f"{base}/tables")
-    _finish(stored.start(spark.readStream.schema(schema).parquet(f"{base}/documents")))
+    stored = _stream_documents(spark, "incremental_agent_tables", _documents(spark, sf_dir))
     return agent_views.v_agent_dependency_graph(stored.table(spark, "agent_dependencies"), derive.AS_OF)
 
 
+@query
+def incremental_tool_requests(spark, sf_dir):
+    """Tool requests when traces are split over documents and micro-batches."""
+    parts = derive.agent_documents(derive.read(spark, sf_dir, "conversations"), turns=4)
+    return _stream_documents(spark, "incremental_tool_requests", parts).table(spark, "tool_requests")
+
+
+def _stream_documents(spark: SparkSession, name: str, documents: DataFrame) -> IncrementalAgentTables:
+    """Every document streamed twice, in three micro-batches of random order."""
+    base = work_dir(spark, name)
+    stored = IncrementalAgentTables(f"{base}/tables")
+    shuffled = documents.unionByName(documents).repartition(3)
+    _finish(stored.start(_in_batches(spark, shuffled, f"{base}/documents")))
+    return stored
+
+
 @query
 def streaming_daily_counts(spark, sf_dir):
-    """Messages per language from a native streaming aggregation."""
+    """Messages per language from a stream whose newest rows come first."""
     base = work_dir(spark, "streaming_daily_counts")
-    stream = derive.traces_processed(derive.read_stream(spark, sf_dir, "events"))
-    _finish(start_daily_counts(stream, base, ["LANG_PROMPT"]))
-    return read_daily_counts(spark, base, ["LANG_PROMPT"])
+    stream = derive.traces_processed(_late_events(spark, sf_dir, base))
+    _finish(start_daily_counts(stream, f"{base}/counts", ["LANG_PROMPT"]))
+    return read_daily_counts(spark, f"{base}/counts", ["LANG_PROMPT"])

@@ -244,11 +244,12 @@ SPANS = {
 INGESTED_MS = "1704067200000 + (conv_id % 100) * 10800000"
 
 
-def agent_documents(conversations: DataFrame) -> DataFrame:
-    """One JSON document per conversation and block of eight turns."""
+def agent_documents(conversations: DataFrame, turns: int = 8) -> DataFrame:
+    """One JSON document per conversation and block of `turns` turns. Parents are
+    found in blocks of eight: fewer turns split traces over documents."""
     attributes = ["agent_name", "function_name", "input", "output", "agent_tools", "agent_output_type"]
     rows = conversations.selectExpr(
-        "conv_id", "turn", f"turn div 8 as block", *[f"{expr} as `{name}`" for name, expr in SPANS.items()]
+        "conv_id", "turn", f"turn div {turns} as block", *[f"{expr} as `{name}`" for name, expr in SPANS.items()]
     )
     number = lambda name: F.col(name).cast("double").alias(name)
     span = F.struct(

@@ -173,7 +173,6 @@ def _conversation_columns() -> str:
         f"first(OUTPUT {oldest}) as FIRST_OUTPUT",
         _SECOND.format("min(START_TIMESTAMP)") + " as FIRST_MESSAGE_TIME",
         _SECOND.format("max(END_TIMESTAMP)") + " as LAST_MESSAGE_TIME",
-        f"'[' || string_agg(OUTPUT_CLASSIFIERS, ',' {oldest}) || ']' as OUTPUT_CLASSIFIERS",
     ]
     return ", ".join(columns)
 
@@ -290,7 +289,7 @@ GUARDIAN = """
    'jailbreak_detection' as check_type, 'blocked' as result,
    cast(case when contains(output, 'score 0.97') then 0.97 when contains(output, 'score 0.95') then 0.95
      when contains(output, 'score 0.90') then 0.9 else 0.85 end as float) as risk_score,
-   substring(output, 1, 500) as reason, '{"tool": "' || function_name || '"}' as metadata,
+   output as reason, '{"tool": "' || function_name || '"}' as metadata,
    ingested_at as "timestamp", cast(ingested_at as date) as "date" from calls c where """ + _BLOCKED + ")"
 AGENT_REQUESTS = f"""
  last_llm as (select team_id, trace_id, parent_id, first(input order by started_at desc, input desc) as input_data,
@@ -384,6 +383,10 @@ _ENRICHED = (
 _CONVERSATION_VIEW = _q(
     KNOWN, f"select APP_ID, CONVERSATION_ID, {_conversation_columns()} from known group by APP_ID, CONVERSATION_ID"
 )
+_CLASSIFIERS = _q(
+    KNOWN,
+    "select APP_ID, CONVERSATION_ID, EVENT_DATE, START_TIMESTAMP, INTERACTION_ID, OUTPUT_CLASSIFIERS from known",
+)
 _INGESTED_TRACES = _q(_TRACES, f"select t.*, {_times('')} from t")
 _DAILY_METRICS = _q(METRICS_CTES, "select * from daily")
 _GRAPH = _q(
@@ -544,10 +547,8 @@ ORACLE: dict[str, str] = {
     ),
     "traces_conversations_view": _CONVERSATION_VIEW,
     "incremental_conversations": _CONVERSATION_VIEW,
-    "conversation_classifiers": _q(
-        KNOWN,
-        "select APP_ID, CONVERSATION_ID, EVENT_DATE, START_TIMESTAMP, INTERACTION_ID, OUTPUT_CLASSIFIERS from known",
-    ),
+    "conversation_classifiers": _CLASSIFIERS,
+    "incremental_classifiers": _CLASSIFIERS,
     # topics
     "classifier_labels": _q(
         LABELS, "select TRACE_ID, APP_ID, CLASSIFIER_ID, CATEGORY_ID, LABEL_ID, SCORE from labels"
@@ -603,6 +604,7 @@ ORACLE: dict[str, str] = {
     ),
     "v_agent_dependency_graph": _GRAPH,
     "incremental_agent_tables": _GRAPH,
+    "incremental_tool_requests": _q(TOOL_REQUESTS, "select * from tool_requests"),
     # events
     "discover_events_enriched": _q(_DISCOVER, _DISCOVER_COLUMNS),
     "metrics_enriched": _q(_METRICS, f"select m.*, {_times('')} from m"),
@@ -613,3 +615,9 @@ ORACLE: dict[str, str] = {
         MSG, "select APP_ID, EVENT_DATE, LANG_PROMPT, count(*) as \"count\" from msg group by all"
     ),
 }
+
+# Documents delivered twice give what they give once.
+ORACLE |= {
+    f"{name}_redelivered": ORACLE[name]
+    for name in ("tool_requests", "guardian_invocations", "agent_dependencies", "agent_requests")
+}

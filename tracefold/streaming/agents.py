@@ -1,22 +1,22 @@
 """Agent tables fed by a stream of agent-trace documents.
 
-A micro-batch writes its spans once and derives all seven tables from that
-written copy. Parents are looked up within the batch, as documents carry whole
-traces.
+A micro-batch parses its documents once and stores their spans; that is the only
+state. The seven tables are read from all committed spans, each from its own
+columns and kinds of span. So a parent is found whichever batch brought it, an
+edge counts its distinct documents over all batches, and a span delivered again
+counts once.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from tracefold.operators import agents as ops
-from tracefold.operators.merge import latest_by_version
-from tracefold.operators.spans import write_spans
-from tracefold.streaming.batches import last_commit, read_batches, run_batches, together, write_batch
+from tracefold.operators.spans import explode_spans
+from tracefold.streaming.batches import last_commit, read_batches, run_batches, write_batch
 
 TABLES = {
     "agents": ops.agents,
@@ -27,8 +27,6 @@ TABLES = {
     "guardian_invocations": ops.guardian_invocations,
     "agent_requests": ops.agent_requests,
 }
-# Tables in which a later row replaces an earlier one with the same key.
-UPSERTED = {"agents": ops.AGENT, "tools": ops.TOOL, "agent_tool_permissions": ops.PERMISSION}
 
 
 @dataclass(frozen=True)
@@ -39,20 +37,18 @@ class IncrementalAgentTables:
     def checkpoint(self) -> str:
         return f"{self.base}/checkpoint"
 
+    @property
+    def spans(self) -> str:
+        return f"{self.base}/spans"
+
     def write(self, documents: DataFrame, batch_id: int) -> None:
-        spans = write_spans(documents, f"{self.base}/spans/batch_id={batch_id}", mode="overwrite")
-        together(
-            partial(write_batch, derive(spans), f"{self.base}/{name}", batch_id) for name, derive in TABLES.items()
-        )
+        """Add one batch; the same batch again replaces itself."""
+        write_batch(explode_spans(documents), self.spans, batch_id)
 
     def start(self, stream: DataFrame, every: str | None = None) -> StreamingQuery:
         return run_batches(stream, self.checkpoint, self.write, every=every)
 
     def table(self, spark: SparkSession, name: str) -> DataFrame:
-        """Committed rows; upserted tables give the newest row per key.
-
-        `agent_dependencies` keeps one row per edge and batch: its readers add
-        the connection counts up.
-        """
-        rows = read_batches(spark, f"{self.base}/{name}", -1, last_commit(spark, self.checkpoint)).drop("batch_id")
-        return latest_by_version(rows, UPSERTED[name], "updated_at") if name in UPSERTED else rows
+        """One of `TABLES` over all committed batches."""
+        spans = read_batches(spark, self.spans, -1, last_commit(spark, self.checkpoint))
+        return TABLES[name](spans.drop("batch_id"))

@@ -1,7 +1,7 @@
-"""Daily message counts as a native streaming aggregation.
+"""Daily message counts kept up to date by a stream.
 
-For plain counters only. The watermark bounds the state: rows later than it
-are not counted. Roll-ups without that limit are in `streaming.rollup`.
+The counters are a roll-up: a late row adds to its day however late it is, so
+there is no watermark and no state in memory.
 """
 
 from __future__ import annotations
@@ -9,42 +9,24 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tracefold.operators.usage import messages
-from tracefold.streaming.batches import last_commit, read_batches, run_batches, write_batch
+from tracefold.operators.rollup import Rollup
+from tracefold.operators.usage import DAY, messages
+from tracefold.streaming.rollup import IncrementalRollups
 
 
-def daily_counts(stream: DataFrame, keys: Sequence[str], watermark: str = "2 days") -> DataFrame:
-    """Messages per app, day and `keys`."""
-    return (
-        messages(stream)
-        .withWatermark("START_TIME", watermark)
-        .groupBy("APP_ID", F.window("START_TIME", "1 day"), *keys)
-        .count()
-        .select("APP_ID", F.to_date("window.start").alias("EVENT_DATE"), *keys, "count")
-    )
+def daily_counts(base: str, keys: Sequence[str]) -> IncrementalRollups:
+    """Stored counters of messages per app, day and `keys`; `compact()` folds them."""
+    return IncrementalRollups(base, (Rollup("daily_counts", (*DAY, *keys), {"count": ("count", "1")}, messages),))
 
 
-def start_daily_counts(
-    stream: DataFrame, base: str, keys: Sequence[str], watermark: str = "2 days", every: str | None = None
-) -> StreamingQuery:
-    """Write the changed counters of every micro-batch."""
-    return run_batches(
-        daily_counts(stream, keys, watermark),
-        f"{base}/checkpoint",
-        lambda changed, batch_id: write_batch(changed, f"{base}/counts", batch_id),
-        output_mode="update",
-        every=every,
-    )
+def start_daily_counts(stream: DataFrame, base: str, keys: Sequence[str], every: str | None = None) -> StreamingQuery:
+    """Add the counts of every micro-batch."""
+    return daily_counts(base, keys).start(stream, every)
 
 
 def read_daily_counts(spark: SparkSession, base: str, keys: Sequence[str]) -> DataFrame:
-    """Newest value of every counter; counters only grow."""
-    upto = last_commit(spark, f"{base}/checkpoint")
-    return (
-        read_batches(spark, f"{base}/counts", -1, upto)
-        .groupBy("APP_ID", "EVENT_DATE", *keys)
-        .agg(F.max("count").alias("count"))
-    )
+    """One row per counter over all committed batches."""
+    stored = daily_counts(base, keys)
+    return stored.state(spark, stored.rollups[0])

@@ -16,13 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tracefold.operators.rollup import Rollup
+from tracefold.operators.rollup import Kept, Rollup
 from tracefold.streaming.batches import last_commit, read_batches, run_batches, together, write_batch
 
 
 @dataclass(frozen=True)
 class IncrementalRollups:
-    """Stored partial rows of several roll-ups over one source stream.
+    """Stored partial rows of several roll-ups, and kept rows, over one source stream.
 
     `sides` gives, by roll-up name, the dimension frames its rows need.
     `cache` keeps a micro-batch in memory for all roll-ups: for sources that
@@ -31,7 +31,7 @@ class IncrementalRollups:
     """
 
     base: str
-    rollups: Sequence[Rollup]
+    rollups: Sequence[Rollup | Kept]
     sides: dict[str, tuple[DataFrame, ...]] = field(default_factory=dict)
     cache: bool = False
 
@@ -55,7 +55,7 @@ class IncrementalRollups:
             if self.cache:
                 rows.unpersist()
 
-    def _write_one(self, rollup: Rollup, rows: DataFrame, batch_id: int) -> None:
+    def _write_one(self, rollup: Rollup | Kept, rows: DataFrame, batch_id: int) -> None:
         partials = rollup.partial(rows, *self.sides.get(rollup.name, ()))
         write_batch(partials, self._folder(rollup.name), batch_id)
 
@@ -69,7 +69,7 @@ class IncrementalRollups:
             return -1
         return -1 if newest is None else newest
 
-    def partials(self, spark: SparkSession, rollup: Rollup, upto: int | None = None) -> DataFrame:
+    def partials(self, spark: SparkSession, rollup: Rollup | Kept, upto: int | None = None) -> DataFrame:
         """Committed partial rows, folded ones first."""
         upto = last_commit(spark, self.checkpoint) if upto is None else upto
         folded = self._folded_upto(spark)
@@ -83,7 +83,7 @@ class IncrementalRollups:
             raise ValueError(f"no committed batch of {rollup.name} yet")
         return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
-    def state(self, spark: SparkSession, rollup: Rollup) -> DataFrame:
+    def state(self, spark: SparkSession, rollup: Rollup | Kept) -> DataFrame:
         """One merged row per key."""
         return rollup.merge(self.partials(spark, rollup))
 
@@ -102,7 +102,7 @@ class IncrementalRollups:
         spark.range(1).select(F.lit(upto).cast("bigint").alias("upto")).write.mode("append").json(f"{self.base}/manifest")
         return upto
 
-    def _fold_one(self, spark: SparkSession, rollup: Rollup, upto: int) -> None:
+    def _fold_one(self, spark: SparkSession, rollup: Rollup | Kept, upto: int) -> None:
         by_date = ["EVENT_DATE", *[key for key in rollup.keys if key != "EVENT_DATE"]]
         merged = rollup.merge(self.partials(spark, rollup, upto)).repartitionByRange(*by_date)
         merged.sortWithinPartitions(*by_date).write.mode("overwrite").parquet(self._folded(rollup.name, upto))
