@@ -49,9 +49,12 @@ def segments(length: Column, tau: int) -> list[tuple[Column, Column]]:
     ]
 
 
-def keys(line: Column, length: Column, tau: int) -> Column:
+def keys(chars: Column, length: Column, tau: int) -> Column:
     """Hashes of the line's own segments, odd, and of the substrings it probes with, even.
 
+    `chars` is the line in UTF-32: four bytes a code point, so that a substring is
+    found by its place and not by reading the line from its start.
+
     A probe for length n - d and segment i starts within i edits of the segment's
     start on the left, and within tau - i edits of it, shifted by d, on the right:
     no alignment needs others. A line's own segments serve as probes too.
@@ -61,7 +64,7 @@ def keys(line: Column, length: Column, tau: int) -> Column:
         for i, (start, size) in enumerate(segments(length - d, tau)):
             low, high = max(-i, d - (tau - i)), min(i, d + (tau - i))
             for shift in range(low, high + 1):
-                part = F.substring(line, start + shift, size)
+                part = F.substring(chars, (start + (shift - 1)) * 4 + 1, size * 4)
                 key = F.shiftleft(F.xxhash64(length - d, F.lit(i), part), 1)
                 out.append(key + F.lit(int(d == 0 and shift == 0)).cast("long"))
     return F.array(*out)
@@ -165,9 +168,8 @@ def sketch(line: str) -> Column:
 def links(found: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
     """(id, id2, other, other2): different lines within `tau` edits, both ways round, from (line, ...)."""
     long_lines = found.where(F.char_length("line") >= min_chars).select(*_identity("line"), "line")
-    signed = long_lines.select(
-        "id", F.explode(keys(F.col("line"), F.char_length("line"), tau)).alias("k")
-    ).select("id", F.shiftright("k", 1).alias("key"), F.col("k").bitwiseAND(F.lit(1).cast("long")).alias("indexed"))
+    cut = long_lines.select("id", F.encode("line", "UTF-32").alias("chars"), F.char_length("line").alias("n"))
+    signed = cut.select("id", F.explode(keys(F.col("chars"), F.col("n"), tau)).alias("k")).select("id", F.shiftright("k", 1).alias("key"), F.col("k").bitwiseAND(F.lit(1).cast("long")).alias("indexed"))
     # Few keys are met by different lines, so the keys are made twice rather than kept.
     met = signed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("indexed").alias("any"))
     held = join_by_id(signed, met.where("any = 1 and low <> high").select("key"), key="key")
