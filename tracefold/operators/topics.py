@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracefold.functions import json
@@ -92,13 +92,15 @@ TOPIC_ROLLUPS = (TOPIC_DAYS, TOPIC_MESSAGES, TOPIC_CONVERSATIONS)
 def conversation_duration(topic_conversations: DataFrame) -> DataFrame:
     """Adds the length of each conversation, over its labelled messages.
 
-    The input has one row per topic, day and conversation, so a window holds a
-    conversation's topics and days, never its messages.
+    An aggregate and a join, not a window: the aggregate combines on the map side
+    and the join can be split, so a conversation of very many topics and days (a
+    blank id, say) does not gather in one task.
     """
-    whole = Window.partitionBy("APP_ID", "CONVERSATION_ID")
-    return topic_conversations.withColumn(
-        "duration_ms", F.max("max_end").over(whole) - F.min("min_start").over(whole)
+    whole = topic_conversations.groupBy(F.col("APP_ID").alias("_app"), F.col("CONVERSATION_ID").alias("_id")).agg(
+        (F.max("max_end") - F.min("min_start")).alias("duration_ms")
     )
+    its_own = F.col("APP_ID").eqNullSafe(F.col("_app")) & F.col("CONVERSATION_ID").eqNullSafe(F.col("_id"))
+    return topic_conversations.join(whole, its_own).drop("_app", "_id")
 
 
 def _topic_sums(days: DataFrame, per_message: DataFrame, per_conversation: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -410,6 +410,21 @@ def approx_usage(approx_days: DataFrame) -> DataFrame:
     return with_day(approx_days.select(*DAY, *[estimate(name) for name in APPROX_DAYS.measures]))
 
 
+# Five standard errors of the sketch at its default size.
+APPROX_BOUND = 0.08
+
+
+def approx_usage_checked(approx_days: DataFrame, traces_processed: DataFrame) -> DataFrame:
+    """Exact counts, and whether each estimate is within `APPROX_BOUND` of them."""
+    ids = {name: expr for name, (_, expr) in APPROX_DAYS.measures.items()}
+    exact = messages(traces_processed).groupBy(*DAY).agg(
+        *[F.count_distinct(F.expr(expr)).alias(name) for name, expr in ids.items()]
+    )
+    both = approx_usage(approx_days).join(exact, DAY)
+    off = lambda name: F.abs(F.col(f"{name}_estimate") - F.col(name)) <= F.col(name) * APPROX_BOUND
+    return both.select(*DAY, "day", *ids, *[off(name).alias(f"{name}_within") for name in ids])
+
+
 DAILY_ROLLUPS: tuple[Rollup, ...] = (
     USAGE_DAYS,
     MESSAGE_DAYS,

@@ -227,7 +227,8 @@ def enrich_traces_words(spark, sf_dir):
 @query
 def enrich_traces(spark, sf_dir):
     """All KPI columns; languages and sentiments are this library's defaults."""
-    return enrich.enrich_traces(derive.document_traces(derive.read(spark, sf_dir, "documents"))).drop("INPUT", "OUTPUT")
+    rows = enrich.enrich_traces(derive.document_traces(derive.read(spark, sf_dir, "documents")))
+    return rows.withColumn("READABILITY_RESPONSE", F.round("READABILITY_RESPONSE", 6)).drop("INPUT", "OUTPUT")
 
 
 @query
@@ -387,7 +388,9 @@ def users_countries_daily(spark, sf_dir):
 
 @query
 def approx_usage(spark, sf_dir):
-    return usage.approx_usage(usage.APPROX_DAYS.partial(_tp(spark, sf_dir)))
+    """Exact counts next to whether the estimates are within their bound."""
+    tp = _tp(spark, sf_dir)
+    return usage.approx_usage_checked(usage.APPROX_DAYS.partial(tp), tp)
 
 
 # --- conversations ---------------------------------------------------------------------

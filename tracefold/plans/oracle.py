@@ -6,6 +6,7 @@ distinct counts, windows and subqueries over the derived input.
 
 from __future__ import annotations
 
+from tracefold.functions.enrich import FUNCTION_WORDS, NEGATIVE_WORDS, POSITIVE_WORDS
 from tracefold.plans import derive
 
 
@@ -380,6 +381,41 @@ _ENRICHED = (
     f" {_matches('o', '(?i)[aeiouy]+')} as syllables from doc)"
 )
 
+_WORD_COLUMNS = (
+    "cast(wi as int) as NUM_WORDS_PROMPT, cast(wo as int) as NUM_WORDS_RESPONSE,"
+    " cast(ceil(length(i) / 4e0) as int) as TOKENS_SPENT_PROMPT,"
+    " cast(ceil(length(o) / 4e0) as int) as TOKENS_SPENT_RESPONSE,"
+    " case when wo = 0 then 0e0 else round(206.835e0 - 1.015e0 * (cast(wo as double) / sentences)"
+    " - 84.6e0 * (cast(syllables as double) / wo), 6) end as READABILITY_RESPONSE"
+)
+
+
+def _any_of(words) -> str:
+    return "(" + ", ".join(f"'{word}'" for word in words) + ")"
+
+
+def _hits(text: str) -> str:
+    """The words of a text that are on any list."""
+    breaks = "'.,;:!?()[]{}<>\"''/\\|' || chr(9) || chr(10) || chr(13)"
+    listed = {w for words in (*FUNCTION_WORDS.values(), POSITIVE_WORDS, NEGATIVE_WORDS) for w in words}
+    spaced = f"translate(lower({text}), {breaks}, repeat(' ', length({breaks})))"
+    return f"list_filter(string_split({spaced}, ' '), lambda w: w in {_any_of(sorted(listed))})"
+
+
+def _side(side: str, hits: str) -> str:
+    """Language and sentiment columns from the listed words."""
+    count = lambda words: f"len(list_filter({hits}, lambda w: w in {_any_of(words)}))"
+    votes = ", ".join(f"{{'n': {count(words)}, 'code': '{code}'}}" for code, words in FUNCTION_WORDS.items())
+    good, bad = count(POSITIVE_WORDS), count(NEGATIVE_WORDS)
+    share = lambda part: f"case when {good} + {bad} = 0 then 0e0 else cast({part} as double) / ({good} + {bad}) end"
+    return (
+        f"case when list_max([{votes}]).n > 0 then list_max([{votes}]).code else '' end as LANG_{side},"
+        f" case when {good} > {bad} then 'positive' when {bad} > {good} then 'negative' else 'neutral' end"
+        f" as SENTIMENT_{side}, {share(good)} as SENTIMENT_{side}_POSITIVE, {share(bad)} as SENTIMENT_{side}_NEGATIVE,"
+        f" case when {good} + {bad} = 0 then 1e0 else 0e0 end as SENTIMENT_{side}_NEUTRAL"
+    )
+
+
 _CONVERSATION_VIEW = _q(
     KNOWN, f"select APP_ID, CONVERSATION_ID, {_conversation_columns()} from known group by APP_ID, CONVERSATION_ID"
 )
@@ -461,13 +497,14 @@ ORACLE: dict[str, str] = {
         f"select '{name}' as table_name, count(*) as n from {name}"
         for name in ("nation", "events", "orders", "conversations")
     ),
+    "enrich_traces": _q(
+        f"{_ENRICHED}, hits as (select *, {_hits('i')} as hi, {_hits('o')} as ho from n)",
+        f"select TRACE_ID, '' as OUTPUT_CLASSIFIERS, {_WORD_COLUMNS},"
+        f" {_side('PROMPT', 'hi')}, {_side('RESPONSE', 'ho')} from hits",
+    ),
     "enrich_traces_words": _q(
         _ENRICHED,
-        "select TRACE_ID, cast(wi as int) as NUM_WORDS_PROMPT, cast(wo as int) as NUM_WORDS_RESPONSE,"
-        " cast(ceil(length(i) / 4e0) as int) as TOKENS_SPENT_PROMPT,"
-        " cast(ceil(length(o) / 4e0) as int) as TOKENS_SPENT_RESPONSE,"
-        " case when wo = 0 then 0e0 else round(206.835e0 - 1.015e0 * (cast(wo as double) / sentences)"
-        " - 84.6e0 * (cast(syllables as double) / wo), 6) end as READABILITY_RESPONSE from n",
+        f"select TRACE_ID, {_WORD_COLUMNS} from n",
     ),
     "load_dimensions": (
         "select 'app' || n_nationkey as id, n_name || ' v3' as name, make_timestamp(1700000003000000) as updatedAt"
@@ -539,6 +576,13 @@ ORACLE: dict[str, str] = {
         " from msg where USER_ID <> '' group by APP_ID, EVENT_DATE, USER_ID) where rank <= 5",
     ),
     "users_countries_daily": _q(f"{MSG},\n{_USERS},\n{_COUNTRY_LIST}", "select * from country_list"),
+    "approx_usage": _q(
+        MSG,
+        "select APP_ID, EVENT_DATE, EVENT_DATE as day, count(distinct INTERACTION_ID) as messages,"
+        " count(distinct CONVERSATION_ID) as conversations, count(distinct nullif(USER_ID, '')) as users,"
+        " count(distinct SESSION_ID) as sessions, true as messages_within, true as conversations_within,"
+        " true as users_within, true as sessions_within from msg group by all",
+    ),
     # conversations
     "traces_conversations": _q(
         KNOWN,

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 
 from tracefold.operators.merge import latest_by_version
 
-# Credentials and request headers never leave the source.
-SECRET_COLUMNS = ("modelApiKey", "modelExtraHeaders", "modelBaseUrl", "modelApiVersion", "modelDeploymentName")
+# Credentials and request headers never leave the source. Fixed values.
+SECRET_COLUMNS = ("modelApiKey", "modelExtraHeaders")
 
 
 def load_dimension(rows: DataFrame, keys: tuple[str, ...] = ("id",), version: str = "updatedAt") -> DataFrame:
