@@ -195,19 +195,21 @@ def skip_index_layout(spark, sf_dir):
     return spark.read.parquet(path).groupBy("application_id", "action", "yyyymm").agg(F.count("*").alias("n"))
 
 
-_SNAPSHOT = ("nation", "events", "orders", "conversations")
-
-
 @query
 def snapshot_export(spark, sf_dir):
-    """Row counts of the copied tables."""
+    """Rows, values and characters of every copied table."""
     paths = tables.snapshot_export(
-        {name: derive.read(spark, sf_dir, name) for name in _SNAPSHOT}, work_dir(spark, "snapshot_export"), "stamp"
+        {name: derive.read(spark, sf_dir, name) for name in derive.TABLE_KEYS}, work_dir(spark, "snapshot_export"), "stamp"
     )
-    counted = [
-        spark.read.parquet(path).agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n")
-        for name, path in paths.items()
-    ]
+    counted = []
+    for name, path in paths.items():
+        key, text = derive.TABLE_KEYS[name]
+        counted.append(spark.read.parquet(path).agg(
+            F.count("*").alias("n"),
+            F.count_distinct(key).alias("keys"),
+            F.sum(key).cast("bigint").alias("key_sum"),
+            F.sum(F.char_length(text) if text else F.lit(0)).cast("bigint").alias("chars"),
+        ).select(F.lit(name).alias("table_name"), "n", "keys", "key_sum", "chars"))
     out = counted[0]
     for part in counted[1:]:
         out = out.unionByName(part)

@@ -15,6 +15,24 @@ from tracefold.functions.timeparts import date_of, hour_of, second_of
 
 AS_OF = "2024-01-13 12:00:00"
 
+# Every given table: a number column and a text column to compare copies by.
+TABLE_KEYS = {
+    "region": ("r_regionkey", "r_name"),
+    "nation": ("n_nationkey", "n_name"),
+    "customer": ("c_custkey", "c_name"),
+    "supplier": ("s_suppkey", "s_name"),
+    "part": ("p_partkey", "p_name"),
+    "orders": ("o_orderkey", "o_orderpriority"),
+    "lineitem": ("l_orderkey", "l_linestatus"),
+    "events": ("event_id", "props"),
+    "documents": ("doc_id", "text"),
+    "embeddings": ("vec_id", None),
+    "pages": ("page_id", "html"),
+    "benchmark": ("item_id", "text"),
+    "labels": ("doc_id", None),
+    "conversations": ("conv_id", "text"),
+}
+
 SPARK = {
     "ms": lambda t: f"(unix_micros(cast({t} as timestamp)) div 1000)",
     "k": "cast(get_json_object(props, '$.k') as int)",

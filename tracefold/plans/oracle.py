@@ -494,8 +494,10 @@ ORACLE: dict[str, str] = {
         " count(*) as n from d group by all",
     ),
     "snapshot_export": " union all ".join(
-        f"select '{name}' as table_name, count(*) as n from {name}"
-        for name in ("nation", "events", "orders", "conversations")
+        f"select '{name}' as table_name, count(*) as n, count(distinct {key}) as keys,"
+        f" cast(sum({key}) as bigint) as key_sum,"
+        f" cast(sum({f'length({text})' if text else 0}) as bigint) as chars from {name}"
+        for name, (key, text) in derive.TABLE_KEYS.items()
     ),
     "enrich_traces": _q(
         f"{_ENRICHED}, hits as (select *, {_hits('i')} as hi, {_hits('o')} as ho from n)",
