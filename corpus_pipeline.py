@@ -14,7 +14,7 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that occur earlier go, and documents made of nothing else."""
-    return linededup.dedup(docs)
+    return linededup.dedup(docs, min_chars=linededup.EVERY)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

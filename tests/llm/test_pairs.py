@@ -1,6 +1,7 @@
 """Operators on pairs against all-pairs comparisons of small inputs."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -184,6 +185,45 @@ def test_line_removal(spark):
     assert linededup.duplicates(df.limit(0)).count() == 0
 
 
+def lines_removed_plainly(rows, tau=2):
+    """(doc_id, n_lines, n_removed, removed) of every row."""
+    held = [
+        ((doc is not None, doc or 0, k), i, line)
+        for i, (doc, text) in enumerate(rows) if text is not None
+        for k, line in enumerate(text.split("\n")) if re.search(r"[^ \t-\r]", line)
+    ]
+    gone = [set() for _ in rows]
+    for place, i, a in held:
+        for before, _, b in held:
+            near = min(len(a), len(b)) > tau and abs(len(a) - len(b)) <= tau
+            if before < place and (a == b or near and edits(a, b) <= tau):
+                gone[i].add(place[2])
+                break
+    return in_order(
+        (doc, 0 if text is None else text.count("\n") + 1, len(g), ",".join(map(str, sorted(g))))
+        for (doc, text), g in zip(rows, gone)
+    )
+
+
+def removed_by_query(spark, folder, rows):
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    return in_order(linededup.op10_line_dedup(spark, str(folder)).collect())
+
+
+def test_short_lines_in_query_and_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    random.seed(11)
+    pool = ["Released under the MIT License.", "All rights reserved.", "All rights reserved!", "ab", "x", "é", "", "  ", "\t"]
+    pool += ["".join(random.choices("abcdé ", k=random.randrange(1, 14))) for _ in range(60)]
+    rows = [(i, "\n".join(random.choices(pool, k=random.randrange(1, 8)))) for i in range(40)] + [(50, None), (51, "")]
+    rows += [(60 + i, f"{pool[0]}\nowner {i:09d}{i:09d}\n{pool[1]}\nab") for i in range(3)]
+    assert removed_by_query(spark, tmp_path, rows) == lines_removed_plainly(rows)
+    kept = corpus_pipeline.dedup_lines(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()
+    left = [line for r in kept for line in (r.text or "").split("\n")]
+    assert [left.count(line) for line in (pool[0], "ab", "x")] == [1, 1, 1]
+
+
 def test_neighbours_recall(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(500, 12))

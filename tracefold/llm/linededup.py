@@ -9,8 +9,10 @@ bit-parallel automaton (one bit per diagonal, one band per number of errors)
 verifies them on the full texts.
 
 An occurrence of a line is removed if the same line or a linked line occurs
-earlier, by (doc_id, line number); what is judged is the input. Lines shorter than
-MIN_CHARS code points are never removed.
+earlier, by (doc_id, line number); what is judged is the input. The functions leave
+lines shorter than `min_chars` code points; the query and the pipeline ask for EVERY
+line. Lines under TAU + 1 code points are linked to equal lines only, and blank lines
+under MIN_CHARS separate paragraphs and stay.
 
 NULL text has no lines; empty text has one empty line. NULL doc_ids come first and
 count as one document, as do rows that repeat a doc_id: equal positions are not
@@ -27,6 +29,8 @@ from .common import WORD, join_by_id, same, saved, table
 
 TAU = 2
 MIN_CHARS = 32
+#: `min_chars` by which no line is too short.
+EVERY = 1
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -195,11 +199,12 @@ def links(found: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataF
 
 def duplicates(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, line_no) of the occurrences to remove."""
-    found = lines(docs)
-    held = found.where(F.char_length("line") >= min_chars).select("doc_id", "line_no", *_identity("line"))
+    size = F.char_length("line")
+    found = lines(docs).where((size >= min_chars) & ((size >= MIN_CHARS) | F.col("line").rlike(WORD)))
+    held = found.select("doc_id", "line_no", *_identity("line"))
     place = F.struct("doc_id", "line_no")
     first = saved(held.groupBy("id", "id2").agg(F.min(place).alias("first"), F.count("*").alias("n")), "first")
-    linked = links(found, tau, min_chars)
+    linked = links(found, tau, max(min_chars, tau + 1))
     other = first.select(F.col("id").alias("other"), F.col("id2").alias("other2"), F.col("first").alias("theirs"))
     earlier = linked.join(other, ["other", "other2"]).groupBy("id", "id2").agg(F.min("theirs").alias("theirs"))
     bound = first.join(earlier, ["id", "id2"], "left").withColumn("bound", F.least("first", F.coalesce("theirs", "first")))
@@ -231,7 +236,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).alias("n"))
     counted = counted.withColumn("n", F.greatest("n", F.lit(0)))
-    gone = removed_lines(docs).withColumnRenamed("doc_id", "_id")
+    gone = removed_lines(docs, min_chars=EVERY).withColumnRenamed("doc_id", "_id")
     return counted.join(gone, same(counted["doc_id"], F.col("_id")), "left").select(
         "doc_id",
         F.col("n").cast("long").alias("n_lines"),
