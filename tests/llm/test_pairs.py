@@ -224,6 +224,25 @@ def test_short_lines_in_query_and_pipeline(spark, tmp_path):
     assert [left.count(line) for line in (pool[0], "ab", "x")] == [1, 1, 1]
 
 
+def test_lines_of_rows_that_share_an_id(spark, tmp_path):
+    own = iter("".join(random.Random(k).choices("abcdefghijklmnop", k=40)) for k in range(99))
+    line, other = next(own), next(own)
+    rows = [(None, f"{line}\n{next(own)}"), (None, f"{next(own)}\n{line}"), (None, next(own)), (None, None), (None, "")]
+    rows += [(5, f"{other}\n{next(own)}\n{line}"), (5, f"{next(own)}\n{next(own)}\n{other}\n{line}"), (5, next(own))]
+    rows += [(6, f"{next(own)}\n{line}")] + [(7, f"{next(own)}\n{other}")]
+    rows += rows[-1:]
+    want = lines_removed_plainly(rows)
+    assert sum(r[2] for r in want) == 7
+    assert removed_by_query(spark, tmp_path, rows) == want
+    kept = linededup.dedup(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()
+    texts = []
+    for doc, text in rows:
+        drop = {(None, rows[1][1]): [line], (5, rows[5][1]): [line], (5, rows[6][1]): [line, other]}.get((doc, text), [])
+        drop = drop or {6: [line], 7: [other]}.get(doc, [])
+        texts.append((doc, None if text is None else "\n".join(x for x in text.split("\n") if x not in drop)))
+    assert in_order(kept) == in_order(texts)
+
+
 def test_neighbours_recall(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(500, 12))

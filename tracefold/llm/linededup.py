@@ -14,9 +14,10 @@ lines shorter than `min_chars` code points; the query and the pipeline ask for E
 line. Lines under TAU + 1 code points are linked to equal lines only, and blank lines
 under MIN_CHARS separate paragraphs and stay.
 
-NULL text has no lines; empty text has one empty line. NULL doc_ids come first and
-count as one document, as do rows that repeat a doc_id: equal positions are not
-earlier than each other, so all of them stay. Other columns are ignored or, in
+NULL text has no lines; empty text has one empty line. NULL doc_ids come first. Lines
+at equal positions, in rows that repeat a doc_id or have none, are not earlier than
+each other, so all of them stay; what is removed is told apart by the rows' texts,
+of which `tk` is a hash. Other columns are ignored or, in
 `dedup`, passed through.
 """
 
@@ -34,8 +35,10 @@ EVERY = 1
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line)."""
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    """(doc_id, tk, line_no, line)."""
+    # hashed below the generator, once a text
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("tk"), "text")
+    return keyed.select("doc_id", "tk", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
 
 
 def _identity(line: str) -> list[Column]:
@@ -198,10 +201,10 @@ def links(found: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataF
 
 
 def duplicates(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, line_no) of the occurrences to remove."""
+    """(doc_id, tk, line_no) of the occurrences to remove."""
     size = F.char_length("line")
     found = lines(docs).where((size >= min_chars) & ((size >= MIN_CHARS) | F.col("line").rlike(WORD)))
-    held = found.select("doc_id", "line_no", *_identity("line"))
+    held = found.select("doc_id", "tk", "line_no", *_identity("line"))
     place = F.struct("doc_id", "line_no")
     first = saved(held.groupBy("id", "id2").agg(F.min(place).alias("first"), F.count("*").alias("n")), "first")
     linked = links(found, tau, max(min_chars, tau + 1))
@@ -209,12 +212,20 @@ def duplicates(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> D
     earlier = linked.join(other, ["other", "other2"]).groupBy("id", "id2").agg(F.min("theirs").alias("theirs"))
     bound = first.join(earlier, ["id", "id2"], "left").withColumn("bound", F.least("first", F.coalesce("theirs", "first")))
     bound = bound.where((F.col("n") > 1) | (F.col("bound") < F.col("first"))).select("id", "id2", "bound")
-    return held.join(bound, ["id", "id2"]).where(place > F.col("bound")).select("doc_id", "line_no").distinct()
+    return held.join(bound, ["id", "id2"]).where(place > F.col("bound")).select("doc_id", "tk", "line_no").distinct()
 
 
 def removed_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, removed): sorted numbers of the lines to remove, for documents that have any."""
-    return duplicates(docs, tau, min_chars).groupBy("doc_id").agg(F.array_sort(F.collect_list("line_no")).alias("removed"))
+    """(doc_id, tk, removed): sorted numbers of the lines to remove, for documents that have any."""
+    return duplicates(docs, tau, min_chars).groupBy("doc_id", "tk").agg(F.array_sort(F.collect_list("line_no")).alias("removed"))
+
+
+def _with_removed(docs: DataFrame, text_key: Column, gone: DataFrame) -> DataFrame:
+    """`docs` with the column _removed, NULL where nothing goes; both sides may be large, so none is broadcast."""
+    found = gone.select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk"), F.col("removed").alias("_removed"))
+    keyed = docs.withColumn("_key", text_key)
+    joined = keyed.join(found, same(keyed["doc_id"], F.col("_id")) & (F.col("_key") == F.col("_tk")), "left")
+    return joined.drop("_id", "_tk", "_key")
 
 
 def dedup(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -222,10 +233,10 @@ def dedup(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFr
 
     A document that had no text to begin with stays as it is.
     """
-    gone = removed_lines(docs, tau, min_chars).withColumnRenamed("removed", "_removed")
+    gone = removed_lines(docs, tau, min_chars)
     kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_removed", i))
     cut = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = join_by_id(docs, gone, "left").withColumn("text", cut)
+    out = _with_removed(docs, F.xxhash64("text"), gone).withColumn("text", cut)
     out = out.where(F.col("_removed").isNull() | F.col("text").rlike(WORD)).drop("_removed")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
@@ -234,12 +245,11 @@ def dedup(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFr
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).alias("n"))
+    counted = docs.select("doc_id", F.xxhash64("text").alias("tk"), F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).alias("n"))
     counted = counted.withColumn("n", F.greatest("n", F.lit(0)))
-    gone = removed_lines(docs, min_chars=EVERY).withColumnRenamed("doc_id", "_id")
-    return counted.join(gone, same(counted["doc_id"], F.col("_id")), "left").select(
+    return _with_removed(counted, F.col("tk"), removed_lines(docs, min_chars=EVERY)).select(
         "doc_id",
         F.col("n").cast("long").alias("n_lines"),
-        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
-        F.array_join(F.coalesce("removed", F.array().cast("array<int>")).cast("array<string>"), ",").alias("removed"),
+        F.coalesce(F.size("_removed"), F.lit(0)).cast("long").alias("n_removed"),
+        F.array_join(F.coalesce("_removed", F.array().cast("array<int>")).cast("array<string>"), ",").alias("removed"),
     )
