@@ -119,6 +119,27 @@ def test_simhash(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_simhash_keeps_one_row_of_each_group(spark):
+    random.seed(12)
+
+    def prose():
+        return " ".join("".join(random.choices("abcdefghij", k=6)) for _ in range(60))
+
+    a, b, c, d, e = (prose() for _ in range(5))
+    rows = [
+        (1, a, "s"), (1, a, "s"), (1, a, None), (2, a, "s"),  # equal rows, a row that differs elsewhere, a copy
+        (None, b, "s"), (None, b, "s"), (None, b, "t"),  # nothing but NULL ids
+        (3, c, "s"), (5, d, "s"), (5, c, "s"), (None, c, "s"),  # id 5 stays for d only
+        (None, e, "s"), (9, e, "s"), (10, None, "s"), (11, "", "s"), (None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    kept = [tuple(r) for r in simhash.keep_one(df).collect()]
+    assert in_order(r[:2] for r in kept) == in_order([(1, a), (None, b), (3, c), (5, d), (9, e), (10, None)])
+    assert set(kept) <= set(rows)
+    assert in_order(kept) == in_order(simhash.keep_one(df.repartition(3)).collect())
+    assert simhash.keep_one(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("block", [4, 64, 4096])
 def test_trie_join_finds_every_link(spark, block):
     rng = np.random.default_rng(block)

@@ -54,6 +54,16 @@ def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
+#: Names of the columns of `row_keys`.
+ROW = ["_row", "_row2"]
+
+
+def row_keys(docs: DataFrame) -> list[Column]:
+    """Two hashes of a row's columns as ROW. Only equal rows share both."""
+    values = [x for c in docs.columns for x in (docs[c], docs[c].isNull())]
+    return [F.xxhash64(*values).alias(ROW[0]), F.xxhash64(F.lit(7), *values).alias(ROW[1])]
+
+
 def join_by_id(docs: DataFrame, found: DataFrame, how: str = "inner", key: str = "doc_id") -> DataFrame:
     """`docs` with the other columns of `found`, joined by `key`, NULL equal to NULL.
 

@@ -20,10 +20,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, join_by_id, same, saved, table
+from .common import ROW, components, row_keys, saved, table
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -53,17 +53,19 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint's 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keys: list[Column] | None = None) -> DataFrame:
+    """(doc_id, fp): the fingerprint's 64 bits as a signed long. `keys`, longs, stand behind if given."""
+    keys = keys or []
+    names = ["doc_id", "fp", *(f"key{k}" for k in range(len(keys)))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [fingerprint(x.as_py(), shingle) for x in batch.column(1)]
             fps = pa.array(np.array(values, np.uint64).view(np.int64))
-            yield pa.record_batch([batch.column(0), fps], ["doc_id", "fp"])
+            yield pa.record_batch([batch.column(0), fps, *batch.columns[2:]], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.encode("text", "UTF-8").alias("t")).mapInArrow(
-        run, "doc_id long, fp long"
+    return docs.select(F.col("doc_id").cast("long"), F.encode("text", "UTF-8").alias("t"), *keys).mapInArrow(
+        run, ", ".join(f"{name} long" for name in names)
     )
 
 
@@ -199,15 +201,20 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) ->
     return pairs.repartition("a", "b").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, fingerprint, component_id), a row per row of `docs`."""
-    rows = saved(fingerprints(docs, shingle), "fingerprints")
+def _rooted(rows: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, doc, root): each fingerprint of `rows` with its smallest doc_id and its component."""
     distinct = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("doc")), "distinct")
     found = components(links(distinct.select("fp"), max_bits))
     rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "root", F.coalesce("component", "fp")
     )
-    rooted = saved(rooted.select("fp", "doc", "root"), "rooted")
+    return saved(rooted.select("fp", "doc", "root"), "rooted")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """(doc_id, fingerprint, component_id), a row per row of `docs`."""
+    rows = saved(fingerprints(docs, shingle), "fingerprints")
+    rooted = _rooted(rows, max_bits)
     smallest = rooted.groupBy("root").agg(F.min("doc").alias("component_id"))
     named = rooted.join(smallest, "root").select("fp", "component_id")
     return rows.join(named, "fp").select(
@@ -216,9 +223,21 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of `docs` whose doc_id is the smallest of their component, all columns."""
-    found = near_duplicates(docs, shingle, max_bits)
-    return join_by_id(docs, found.where(same(F.col("doc_id"), F.col("component_id"))).select("doc_id").distinct())
+    """One row of `docs` for each component, all columns.
+
+    It is the one with the smallest doc_id, NULL last; of several, the one whose
+    text, then whose whole row has the smallest hash; of equal rows, any.
+    """
+    keys = [F.xxhash64("text"), *row_keys(docs)]
+    rows = saved(fingerprints(docs, shingle, keys), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key0", "key1", "key2")).alias("first")
+    # by fingerprint first: a large component has many
+    by_fp = rows.groupBy("fp").agg(first).join(_rooted(rows, max_bits), "fp")
+    kept = by_fp.groupBy("root").agg(F.min("first").alias("first")).select(
+        F.col("first.key1").alias(ROW[0]), F.col("first.key2").alias(ROW[1])
+    )
+    kept = saved(kept, "kept")
+    return docs.select("*", *row_keys(docs)).join(kept, ROW).dropDuplicates(ROW).select(*docs.columns)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
