@@ -11,6 +11,7 @@ import pytest
 
 from tracefold.llm import chat, mixing, quality, repeats, secrets, templates, trigrams
 from tracefold.llm import sentencepiece_fst as fst
+from tracefold.llm.common import row_keys
 from tracefold.llm.queries import ORACLE, QUERIES
 from tests.oracle_check import connect, differences
 
@@ -210,6 +211,32 @@ def test_mixing(spark, sf_dir):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_training_order_by_row(spark):
+    random.seed(13)
+    rows = [(random.choice([None, None, 7, i]), f"{i} " * random.randrange(1, 9), random.choice(["a", "b", "c", None])) for i in range(300)]
+    rows += rows[:20] + rows[:5] + [(None, None, None), (7, None, "a"), (None, "", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    mixed = mixing.mix(df)
+    taken = {}
+    for r in mixed.collect():
+        taken.setdefault((r._row, r._row2), []).extend(r.positions)
+    by = {(r._row, r._row2): tuple(r)[:3] for r in df.select("*", *row_keys(df)).collect()}
+    want = sorted((at, by[key]) for key, spots in taken.items() for at in spots if by[key][0] is not None)
+    got = [tuple(r) for r in mixing.training_order(df, mixed).collect()]
+    everything = sorted((by[key] for key, spots in taken.items() for _ in spots), key=str)
+    assert sorted(got, key=str) == everything
+    at = {}
+    for spot, row in want:
+        at.setdefault(row, []).append(spot)
+    spots = [at[r].pop(0) for r in got if r[0] is not None]
+    assert spots == sorted(spots)
+    words = {}
+    for _, text, source in got:
+        words[source] = words.get(source, 0) + len((text or "").split())
+    for source, target in {r.source: r.target for r in mixed.collect()}.items():
+        assert abs(words.get(source, 0) - target) <= 4
+
+
 def test_position_inverts_the_schedule(spark):
     from pyspark.sql import functions as F
 
