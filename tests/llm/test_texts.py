@@ -18,7 +18,7 @@ from tests.oracle_check import connect, differences
 
 def test_oracle_names():
     assert set(ORACLE) <= set(QUERIES)
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
 
 
 def removed_plainly(rows, length):
@@ -154,6 +154,67 @@ def test_unigram_path_is_the_cheapest():
         assert -sum(scores[i] for i in ids) == pytest.approx(cheapest("▁" + text.replace(" ", "▁")))
 
 
+def test_normaliser_trims():
+    machine = fst.Machine(fst.Model(["<unk>", "▁", "a", "▁a", "b"], [0.0, -1.0, -1.0, -1.5, -1.0], [2] + [1] * 4, bpe=False, trim=True))
+    for text, marked in (("  a  b ", "▁a▁b"), ("a", "▁a"), ("   ", ""), ("a \n b", "▁a▁\n▁b"), ("", "")):
+        assert machine.normaliser.compose(text)[0] == marked
+        whole = [x for x in machine.path(marked)] if marked else []
+        assert machine.encode(text) == whole
+
+
+def test_unknown_characters_without_bytes():
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), ("▁", -2.0, 1), ("a", -1.5, 1), ("▁a", -1.9, 1), ("ab", -2.5, 1), ("b", 1.0, 1)]
+    proto = sentencepiece_model_pb2.ModelProto()
+    for piece, score, kind in pieces:
+        proto.pieces.add(piece=piece, score=score, type=kind)
+    proto.trainer_spec.model_type = 1
+    proto.normalizer_spec.name, proto.normalizer_spec.remove_extra_whitespaces = "identity", False
+    library = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+    machine = fst.Machine(fst.Model(*map(list, zip(*pieces)), bpe=False, byte_fallback=False))
+    random.seed(12)
+    for _ in range(300):
+        text = "".join(random.choices("ab xyé", k=random.randrange(10)))
+        assert machine.encode(text) == library.encode(text), text
+
+
+@pytest.mark.skipif(not os.path.exists(MODEL), reason="no model file")
+def test_models_in_turn(spark):
+    """Workers keep machines by the content of their models."""
+    whole = fst.Model.read(MODEL)
+    texts = ["the cat", "Straße 12", "", "internationalisation of words"]
+    df = spark.createDataFrame(enumerate(texts), "doc_id long, text string").repartition(2)
+    want = {}
+    for k in range(12):
+        few = [i for i, kind in enumerate(whole.kinds) if kind != 1 or len(whole.pieces[i]) <= 1 + k % 4]
+        model = fst.Model(*([x[i] for i in few] for x in (whole.pieces, whole.scores, whole.kinds)), bpe=True)
+        got = {r.doc_id: r.ids for r in fst.encode(df, model).collect()}
+        plain = fst.Machine(model)
+        assert got == {i: plain.encode(t) for i, t in enumerate(texts)}
+        assert want.setdefault(k % 4, got) == got
+    assert len({str(x) for x in want.values()}) == 4
+
+
+@pytest.mark.skipif(not os.path.exists(MODEL), reason="no model file")
+def test_sentencepiece_query(spark, tmp_path):
+    import sentencepiece
+
+    rows = [(1, "a b", "x", 1), (1, "a b", "x", 1), (None, "ünï 🙂\n\n", None, None), (2, None, "y", 2), (3, "", "y", 2), (4, "▁ mark", "y", 3)]
+    rows += [(5, "word " * 250_000, "z", 4), (6, "long" * 200_000, "z", 5)] + [(10 + i, f"{i} " * (i % 90), "w", 6) for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string, ids string, decoded int").write.parquet(f"{tmp_path}/documents.parquet")
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    want = []
+    for doc_id, text, *_ in rows:
+        ids = library.encode(text or "")
+        back = library.decode(ids)
+        want.append((doc_id, ids, len(ids), hashlib.sha256(back.encode()).hexdigest(), back == (text or "")))
+    got = [tuple(r) for r in fst.op6_sentencepiece(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert sum(not r[4] for r in got) == 1
+
+
 def test_chat(spark, sf_dir):
     assert differences(chat.op8_chat(spark, sf_dir), chat.OP8_SQL, connect(sf_dir)) is None
     rows = [(1, 0, "a\n\\b<|", "x<\\|y<|im_end|>\n<|im_start|>\\<\\\\|", "z"), (1, 1, "assistant", None, "z")]
