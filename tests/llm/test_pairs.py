@@ -1,7 +1,9 @@
 """Operators on pairs against all-pairs comparisons of small inputs."""
 
+import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -173,19 +175,25 @@ def changed(text, times):
     return "".join(chars)
 
 
-@pytest.mark.parametrize("tau", [1, 2, 3])
-def test_line_links(spark, tau):
+def budget(a, b, tau=2, per_edit=16):
+    return min(tau, min(len(a), len(b)) // per_edit)
+
+
+@pytest.mark.parametrize("tau, per_edit", [(1, 18), (2, 11), (3, 7), (2, 16)])
+def test_line_links(spark, monkeypatch, tau, per_edit):
     random.seed(tau)
-    base = ["".join(random.choices("abc déf", k=random.choice((20, 21, 22, 33, 40)))) for _ in range(40)]
+    monkeypatch.setattr(linededup, "SHARE", 3)
+    base = ["".join(random.choices("abc déf", k=random.choice((9, 14, 20, 21, 22, 33, 40)))) for _ in range(40)]
     texts = sorted({*base, *(changed(random.choice(base), random.randrange(5)) for _ in range(120))})
     rows = spark.createDataFrame([(t,) for t in texts], "line string").selectExpr("line", "xxhash64(line) AS id").collect()
     names = {r.id: r.line for r in rows}
-    found = linededup.links(spark.createDataFrame([(t,) for t in texts], "line string"), tau, 18)
+    found = linededup.links(spark.createDataFrame([(t,) for t in texts], "line string"), tau, per_edit)
     got = {(names[r.id], names[r.other]) for r in found.collect()}
-    long_enough = [t for t in texts if len(t) >= 18]
     assert got == {
-        (a, b) for a in long_enough for b in long_enough if a != b and abs(len(a) - len(b)) <= tau and edits(a, b) <= tau
+        (a, b) for a in texts for b in texts
+        if a != b and abs(len(a) - len(b)) <= tau and edits(a, b) <= budget(a, b, tau, per_edit)
     }
+    assert len(got) > 20
 
 
 def test_line_removal(spark):
@@ -197,11 +205,11 @@ def test_line_removal(spark):
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string, removed string")
     got = {(r.doc_id, r.line_no) for r in linededup.duplicates(df).collect()}
-    assert got == {(3, 0), (3, 2), (1, 1), (1, 2), (6, 0), (7, 1)}
+    assert got == {(3, 0), (3, 1), (3, 2), (1, 1), (1, 2), (2, 1), (6, 0), (7, 1)}
     kept = linededup.dedup(df)
     assert kept.columns == df.columns
     assert sorted(((r.doc_id, r.text, r.removed) for r in kept.collect() if r.removed not in "gi"), key=lambda r: r[2]) == [
-        (3, "short", "a"), (1, near, "b"), (2, "short\nshort", "c"), (4, None, "d"), (5, "", "e"), (None, f"{other}\nnew", "h")
+        (1, near, "b"), (2, "short", "c"), (4, None, "d"), (5, "", "e"), (None, f"{other}\nnew", "h")
     ]
     assert linededup.duplicates(df.limit(0)).count() == 0
 
@@ -216,8 +224,8 @@ def lines_removed_plainly(rows, tau=2):
     gone = [set() for _ in rows]
     for place, i, a in held:
         for before, _, b in held:
-            near = min(len(a), len(b)) > tau and abs(len(a) - len(b)) <= tau
-            if before < place and (a == b or near and edits(a, b) <= tau):
+            allowed = budget(a, b, tau)
+            if before < place and (a == b or abs(len(a) - len(b)) <= allowed and edits(a, b) <= allowed):
                 gone[i].add(place[2])
                 break
     return in_order(
@@ -264,6 +272,34 @@ def test_lines_of_rows_that_share_an_id(spark, tmp_path):
     assert in_order(kept) == in_order(texts)
 
 
+def test_common_lines_in_shares(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(linededup, "SHARE", 3)
+    random.seed(21)
+    common = ["the same line in every document", "the same line in every documents", "x", " " * 40, " " * 31, "\t"]
+    rows = [(i % 37 or None, "\n".join(random.choices([*common, f"line number {i * i * 7919} stands alone"], k=6))) for i in range(80)]
+    assert removed_by_query(spark, tmp_path, rows) == lines_removed_plainly(rows)
+
+
+def test_columns_of_any_name(spark):
+    names = ["row", "removed", "tk", "left", "whole", "id", "of", "share", "shares", "key", "_id"]
+    rows = [(i, "a line of some length\n" * (1 + i) + f"own {i}", *(f"{n}{i}" for n in names)) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    kept = linededup.dedup(df)
+    assert kept.columns == df.columns
+    own = "a line of some length\n"
+    assert sorted(map(tuple, kept.collect())) == [(i, own * (not i) + f"own {i}", *rows[i][2:]) for i in range(4)]
+
+
+def test_text_of_many_lines(spark):
+    lines = [hashlib.md5(b"%d" % (i % 200_000)).hexdigest() for i in range(300_000)]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, f"{lines[5][:-1]}\nthe end")], "doc_id long, text string")
+    for tau, left in ((0, f"{lines[5][:-1]}\nthe end"), (2, "the end")):
+        start = time.time()
+        kept = {r.doc_id: r.text for r in linededup.dedup(df, tau).collect()}
+        assert time.time() - start < 60
+        assert kept == {1: "\n".join(lines[:200_000]), 2: left}
+
+
 def test_neighbours_recall(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(500, 12))
