@@ -50,40 +50,46 @@ def _identity(line: str) -> list[Column]:
     return [F.xxhash64(line).alias("id"), F.xxhash64(F.lit(7), F.col(line)).alias("id2")]
 
 
-def segments(length: Column, tau: int) -> list[tuple[Column, Column]]:
-    """(start from 1, size) of the segments of a line; sizes differ by one at most, short ones first."""
-    parts = tau + 1
-    base = F.floor(length / parts).cast("int")
-    longer = (length % parts).cast("int")  # so many segments, the last ones, have one character more
+def segments(base: Column, longer: Column, parts: int) -> list[tuple[Column, Column]]:
+    """(start from 1, size) of the segments of a line of base * parts + longer characters, short ones first."""
     return [
         (base * i + F.greatest(F.lit(0), longer - (parts - i)) + 1, base + (longer >= parts - i).cast("int"))
         for i in range(parts)
     ]
 
 
-def keys(chars: Column, length: Column, tau: int, per_edit: int) -> Column:
-    """Hashes of the line's own segments, odd, and of the substrings it probes with, even.
+def keys(found: DataFrame, tau: int, per_edit: int) -> DataFrame:
+    """(id, k) from (id, line): hashes of the line's own segments, odd, and of the substrings it probes with, even.
 
-    `chars` is the line in UTF-32: four bytes a code point, so that a substring is
-    found by its place and not by reading the line from its start.
+    The line is cut in UTF-32: four bytes a code point, so that a substring is found
+    by its place and not by reading the line from its start.
 
     A probe for length n - d and segment i starts within i edits of the segment's
     start on the left, and within `edits - i` edits of it, shifted by d, on the right:
     no alignment needs others. A line's own segments serve as probes too.
     """
+    n = F.char_length("line")
+    cut = found.select("id", F.encode("line", "UTF-32").alias("chars"), n.alias("n"))
+    # Numbers that many keys share are columns of their own: inside conditions nothing is shared.
+    numbers = {f"e{d}": F.least(F.lit(tau), F.expr(f"cast((n - {d}) div {per_edit} as int)")) for d in range(tau + 1)}
+    for d in range(tau + 1):
+        for parts in range(2, tau + 2):
+            numbers[f"b{d}_{parts}"] = F.expr(f"cast((n - {d}) div {parts} as int)")
+            numbers[f"r{d}_{parts}"] = F.expr(f"cast((n - {d}) % {parts} as int)")
+    cut = cut.select("id", "chars", "n", *(column.alias(name) for name, column in numbers.items()))
     none = F.array().cast("array<bigint>")
     out = [none]
     for edits in range(1, tau + 1):
         for d in range(edits + 1):
-            made = []
-            for i, (start, size) in enumerate(segments(length - d, edits)):
+            made, parts = [], edits + 1
+            for i, (start, size) in enumerate(segments(F.col(f"b{d}_{parts}"), F.col(f"r{d}_{parts}"), parts)):
                 low, high = max(-i, d - (edits - i)), min(i, d + (edits - i))
                 for shift in range(low, high + 1):
-                    part = F.substring(chars, (start + (shift - 1)) * 4 + 1, size * 4)
-                    key = F.shiftleft(F.xxhash64(length - d, F.lit(i), part), 1)
+                    part = F.substring("chars", (start + (shift - 1)) * 4 + 1, size * 4)
+                    key = F.shiftleft(F.xxhash64(F.col("n") - d, F.lit(i), part), 1)
                     made.append(key + F.lit(int(d == 0 and shift == 0)).cast("long"))
-            out.append(F.when(budget(length - d, tau, per_edit) == edits, F.array(*made)).otherwise(none))
-    return F.concat(*out)
+            out.append(F.when(F.col(f"e{d}") == edits, F.array(*made)).otherwise(none))
+    return cut.select("id", F.explode(F.concat(*out)).alias("k"))
 
 
 def within(a: Column, b: Column, tau: int, edits: Column | None = None) -> Column:
@@ -194,9 +200,7 @@ def _all_shares(shares: str) -> Column:
 def links(found: DataFrame, tau: int = TAU, per_edit: int = PER_EDIT) -> DataFrame:
     """(id, id2, other, other2): different lines within their edits, both ways round, from (line, ...)."""
     long_lines = found.where(F.char_length("line") >= per_edit).select(*_identity("line"), "line")
-    cut = long_lines.select("id", F.encode("line", "UTF-32").alias("chars"), F.char_length("line").alias("n"))
-    signed = cut.select("id", F.explode(keys(F.col("chars"), F.col("n"), tau, per_edit)).alias("k"))
-    signed = signed.select("id", F.shiftright("k", 1).alias("key"), F.col("k").bitwiseAND(F.lit(1).cast("long")).alias("indexed"))
+    signed = keys(long_lines, tau, per_edit).select("id", F.shiftright("k", 1).alias("key"), F.col("k").bitwiseAND(F.lit(1).cast("long")).alias("indexed"))
     # Few keys are met by different lines, so the keys are made twice rather than kept.
     met = signed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("indexed").alias("any"))
     held = join_by_id(signed, met.where("any = 1 and low <> high").select("key"), key="key")
