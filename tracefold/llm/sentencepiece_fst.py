@@ -52,8 +52,8 @@ from .common import table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SETTING = "tracefold.sentencepiece.model"
 MARK = "▁"
-_WORDS = 300_000  # paths kept, twice: recent ones and those before
-_PAIRS = 400_000
+_WORDS = 600_000  # paths kept, twice: recent ones and those before
+_PAIRS = 600_000
 _LONGEST = 64  # of a word whose path is kept
 _MACHINES_KEPT = 2
 _BATCH = 4 << 20  # bytes of text handled at once
