@@ -16,7 +16,7 @@ EAGER = {
     "ingest_traces", "ingest_traces_processed", "ingest_metrics", "ingest_discover_events", "ingest_stream",
     "monthly_layout_write", "skip_index_layout", "snapshot_export", "incremental_rollup",
     "incremental_conversations", "incremental_classifiers", "incremental_topics", "incremental_agent_tables",
-    "incremental_tool_requests", "streaming_daily_counts",
+    "incremental_tool_requests", "streaming_daily_counts", "incremental_agent_requests", "ingest_stream_monthly",
 }
 LAZY = sorted(set(contract.queries()) - EAGER)
 

@@ -1,11 +1,12 @@
 """Streaming sinks give what the batch operators give."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from tests.helpers import collected, same
+from tests.helpers import collected, plan, same
 from tracefold.operators.spans import explode_spans
 from tracefold.plans import derive
 from tracefold.session import work_dir
@@ -13,7 +14,7 @@ from tracefold.sources import records
 from tracefold.streaming.agents import TABLES, IncrementalAgentTables
 from tracefold.streaming.batches import last_commit
 from tracefold.streaming.counts import read_daily_counts, start_daily_counts
-from tracefold.streaming.ingest import TopicTable
+from tracefold.streaming.ingest import MonthlyTopic, TopicTable
 
 
 def test_topic_with_bad_records(spark, tmp_path):
@@ -29,6 +30,50 @@ def test_topic_with_bad_records(spark, tmp_path):
     assert collected(topic.bad(spark), ["error"]) == ["('not JSON',)", "('not JSON',)", "('not an object',)"]
 
 
+DAY = 86_400_000
+
+
+def _trace(number, day, **more):
+    return json.dumps({"trace_id": f"t{number}", "app_id": "a", "start_timestamp": day * DAY, **more})
+
+
+def test_monthly_topic(spark, tmp_path):
+    topic = MonthlyTopic(str(tmp_path / "table"), "traces", records.ingest_traces, ("trace_id",))
+    first = [_trace(i, 10 + i % 3 * 31) for i in range(30)]
+    same_key = [_trace("", 10, input="x"), _trace("", 10, input="y")]  # t without a number: one key
+    batches = [
+        [*first[:20], *first[:5], "[1]"],
+        [*first[10:], *same_key],
+        [*first, _trace(99, 75)],  # copies that come after the month was folded
+    ]
+    source = str(tmp_path / "topic")
+    for number, lines in enumerate(batches):
+        spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("append").text(source)
+        topic.start(records.read_records(spark, "text", source, stream=True)).awaitTermination()
+        assert last_commit(spark, topic.checkpoint) == number
+        if number == 1:
+            assert topic.merge(spark, 197001) == 1
+    got = sorted(r.trace_id for r in topic.rows(spark).collect())
+    assert got == sorted([*(f"t{i}" for i in range(30)), "t", "t99"])
+    assert topic.months(spark) == [197001, 197002, 197003]
+    assert topic.bad(spark).count() == 1
+    files = topic.rows(spark, [197002]).select(F.input_file_name()).distinct().collect()
+    assert files and all("yyyymm=197002" in f[0] for f in files)
+    folded = topic.rows(spark, [197001]).select(F.input_file_name()).distinct().collect()
+    assert len(folded) == 1 and "/merged/yyyymm=197001/upto=1" in folded[0][0]
+    batch = spark.createDataFrame([(x,) for x in batches[2]], "value string")
+    topic.write(batch, 2)  # again
+    assert topic.rows(spark).count() == 32
+
+
+def test_monthly_topic_without_keys(spark, tmp_path):
+    topic = MonthlyTopic(str(tmp_path / "table"), "traces", records.ingest_traces)
+    lines = [_trace(1, 10, input="x"), _trace(1, 10, input="y"), _trace(1, 10, input="x")]
+    for number in range(2):
+        topic.write(spark.createDataFrame([(x,) for x in lines], "value string"), number)
+    assert spark.read.parquet(f"{topic.base}/rows").count() == 2
+
+
 def test_topic_batch_again(spark, tmp_path):
     topic = TopicTable(str(tmp_path), records.ingest_traces)
     batch = spark.createDataFrame([('{"app_id":"a"}',)], "value string")
@@ -63,6 +108,57 @@ def test_links_and_documents_across_batches(spark, tmp_path):
     assert [r.connection_count for r in stored.table(spark, "agent_dependencies").collect()] == [1]
 
 
+def _documents(spark, spans, trace):
+    text = json.dumps({"team_id": "t", "traces": [{"trace_id": trace, "spans": spans}]})
+    return spark.createDataFrame([(text,)], "raw_json string").withColumn("ingested_at", F.lit("2024-01-01").cast("timestamp"))
+
+
+def test_a_batch_reads_its_own_traces(spark, tmp_path):
+    span = lambda id_, parent, kind, **names: {"id": id_, "parent_id": parent, "kind": kind, "attributes": names}
+    stored = IncrementalAgentTables(str(tmp_path), buckets=32)
+    parents = None
+    for k in range(12):
+        row = _documents(spark, [span("p", "", "workflow", agent_name=f"boss{k}")], f"x{k}")
+        parents = row if parents is None else parents.unionByName(row)
+    stored.write(parents, 0)
+    stored.write(_documents(spark, [span("c", "p", "tool", function_name="f")], "x3"), 1)
+    read = stored.spans_of_touched(spark, 1)
+    assert sorted(r.span_id for r in read.collect()) == ["c", "p"]
+    (filters,) = [line for line in plan(read).split("\n") if "PartitionFilters" in line and "bucket" in line]
+    assert re.search(r"\(bucket#\d+ = \d+\)|bucket#\d+ IN \(\d+\)", filters)  # one of 32 buckets
+    rows = spark.read.parquet(f"{tmp_path}/live/tool_requests")
+    assert [(r.agent_id, r.batch_id) for r in rows.collect()] == [("boss3", 1)]
+    stored.write(_documents(spark, [span("c", "p", "tool", function_name="f")], "x3"), 1)  # again
+    assert spark.read.parquet(f"{tmp_path}/live/tool_requests").count() == 1
+
+
+def test_agent_tables_folded(spark, sf_dir, tmp_path):
+    source = str(tmp_path / "documents")
+    documents = derive.agent_documents(derive.read(spark, sf_dir, "conversations"), turns=2)
+    stored = IncrementalAgentTables(str(tmp_path / "tables"), buckets=4)
+    not_json = spark.createDataFrame([("{", None)], documents.schema)
+    for seed, part in enumerate((documents.sample(0.5, 1), documents, not_json)):
+        part.coalesce(1).write.mode("append").parquet(source)
+        stored.start(spark.readStream.schema(documents.schema).parquet(source)).awaitTermination()
+        assert stored.compact(spark) == seed
+    spans = explode_spans(documents)
+    for name, derive_table in TABLES.items():
+        same(stored.table(spark, name), derive_table(spans))
+    assert spark.read.parquet(f"{stored.base}/bad").count() == 1
+
+
+def test_old_traces_leave_the_spans(spark, tmp_path):
+    span = {"id": "p", "parent_id": "", "kind": "workflow", "attributes": {"agent_name": "boss"}}
+    source, stored = str(tmp_path / "documents"), IncrementalAgentTables(str(tmp_path / "tables"))
+    _documents(spark, [span], "old").write.parquet(source)
+    new = _documents(spark, [span], "new").withColumn("ingested_at", F.lit("2024-02-01").cast("timestamp"))
+    new.write.mode("append").parquet(source)
+    stored.start(spark.readStream.schema(new.schema).parquet(source)).awaitTermination()
+    stored.compact(spark, "7 DAYS", "2024-02-02 00:00:00")
+    assert [r.trace_id for r in spark.read.parquet(f"{stored.base}/folded/upto=0/spans").collect()] == ["new"]
+    assert stored.table(spark, "agent_requests").count() == 2
+
+
 def test_daily_counts_in_batches(spark, sf_dir, tmp_path):
     source = str(tmp_path / "tp")
     tp = derive.traces_processed(derive.read(spark, sf_dir, "events"))

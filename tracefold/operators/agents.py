@@ -101,19 +101,24 @@ def tools(spans: DataFrame) -> DataFrame:
     return latest_by_version(tool_rows(spans), TOOL, "updated_at")
 
 
-def agent_tool_permissions(spans: DataFrame) -> DataFrame:
-    """Newest permission per agent and tool: every use counts as approved."""
+def permission_uses(spans: DataFrame) -> DataFrame:
+    """Agent, tool and newest use, per trace."""
     uses = (
         _children(_kind(spans, "tool"))
         .filter(F.col("function_name") != "")
         .groupBy(*_PARENT, F.col("function_name").alias("tool_id"))
         .agg(F.max("ingested_at").alias("updated_at"))
     )
-    newest = (
+    return (
         uses.join(_named_workflows(spans), _PARENT)
-        .groupBy(*PERMISSION)
+        .groupBy(*PERMISSION, "trace_id")
         .agg(F.max("updated_at").alias("updated_at"))
     )
+
+
+def newest_permissions(uses: DataFrame) -> DataFrame:
+    """One permission per agent and tool from `permission_uses`."""
+    newest = uses.groupBy(*PERMISSION).agg(F.max("updated_at").alias("updated_at"))
     return newest.select(
         *PERMISSION,
         F.col("tool_id").alias("tool_name"),
@@ -126,6 +131,11 @@ def agent_tool_permissions(spans: DataFrame) -> DataFrame:
     )
 
 
+def agent_tool_permissions(spans: DataFrame) -> DataFrame:
+    """Newest permission per agent and tool: every use counts as approved."""
+    return newest_permissions(permission_uses(spans))
+
+
 def _mentions(text: str, *needles: str) -> Column:
     """Case-sensitive containment of any needle."""
     found = F.lit(False)
@@ -170,21 +180,21 @@ def tool_requests(spans: DataFrame) -> DataFrame:
     )
 
 
-def agent_dependencies(spans: DataFrame) -> DataFrame:
-    """Edges from agents to the agents and tools they call.
+def dependency_edges(spans: DataFrame) -> DataFrame:
+    """Edges from agents to the agents and tools they call, a row per trace and document.
 
     An agent calls another one directly (parent span) or through one tool span
-    (grandparent span). `connection_count` is the number of distinct documents
-    that contain the edge.
+    (grandparent span).
     """
-    seen = ["ingested_at", "doc_id"]
+    seen = ["trace_id", "ingested_at", "doc_id"]
     parents = _named_workflows(spans).withColumnRenamed("agent_id", "source_agent_id")
     children = _children(spans).filter(F.col("kind").isin("workflow", "tool")).select(
         *_PARENT,
         "kind",
         "span_id",
         F.when(F.col("kind") == "tool", F.col("called_name")).otherwise(F.col("agent_name")).alias("target_id"),
-        *seen,
+        "ingested_at",
+        "doc_id",
     )
     linked = children.join(parents, _PARENT)
     direct = linked.filter(
@@ -202,7 +212,7 @@ def agent_dependencies(spans: DataFrame) -> DataFrame:
         .select("team_id", "trace_id", F.col("span_id").alias("parent_id"), "source_agent_id")
         .distinct()
     )
-    callees = children.filter(F.col("kind") == "workflow").select(*_PARENT, "target_id", *seen)
+    callees = children.filter(F.col("kind") == "workflow").select(*_PARENT, "target_id", "ingested_at", "doc_id")
     through_tool = (
         callees.join(bridges, _PARENT)
         .filter(F.col("target_id") != F.col("source_agent_id"))
@@ -210,16 +220,28 @@ def agent_dependencies(spans: DataFrame) -> DataFrame:
     )
 
     edges = direct.unionByName(through_tool).filter(F.col("target_id") != "")
+    return edges.groupBy(*DEPENDENCY, "trace_id", "doc_id").agg(
+        F.min("ingested_at").alias("first_seen"), F.max("ingested_at").alias("last_seen")
+    )
+
+
+def count_dependencies(edges: DataFrame) -> DataFrame:
+    """One row per edge of `dependency_edges`; `connection_count` is the number of distinct documents."""
     return edges.groupBy(*DEPENDENCY).agg(
         F.col("target_id").alias("target_name"),
         F.when(F.col("target_type") == "agent", "calls").otherwise("uses").alias("dependency_type"),
         F.count_distinct("doc_id").alias("connection_count"),
-        F.min("ingested_at").alias("first_seen"),
-        F.max("ingested_at").alias("last_seen"),
-        F.max("ingested_at").alias("updated_at"),
+        F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"),
+        F.max("last_seen").alias("updated_at"),
     )
 
 
+def agent_dependencies(spans: DataFrame) -> DataFrame:
+    """Edges from agents to the agents and tools they call, with the number of documents that contain them."""
+    return count_dependencies(dependency_edges(spans))
+
+
 # Score texts in a refusal, strongest first, and the score without one. Fixed values.
 RISK_SCORES = (("score 0.97", 0.97), ("score 0.95", 0.95), ("score 0.90", 0.90))
 RISK_DEFAULT = 0.85

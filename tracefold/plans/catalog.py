@@ -17,7 +17,7 @@ from tracefold.session import prepare, work_dir
 from tracefold.sources import dimensions, records, tables
 from tracefold.streaming.agents import IncrementalAgentTables
 from tracefold.streaming.counts import read_daily_counts, start_daily_counts
-from tracefold.streaming.ingest import TopicTable
+from tracefold.streaming.ingest import MonthlyTopic, TopicTable
 from tracefold.streaming.rollup import IncrementalRollups
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -169,6 +169,25 @@ def ingest_stream(spark, sf_dir):
     return topic.rows(spark)
 
 
+@query
+def ingest_stream_monthly(spark, sf_dir):
+    """The trace topic, every record delivered twice in batches far apart, through the laid-out sink.
+
+    One month is folded halfway; the last third of the deliveries comes after that.
+    """
+    base = work_dir(spark, "ingest_stream_monthly")
+    events = derive.read(spark, sf_dir, "events").withColumn("part", F.expr("pmod(xxhash64(event_id), 3)"))
+    again = events.withColumn("part", (F.col("part") + 1) % 3)
+    topic = MonthlyTopic(f"{base}/table", "traces", records.ingest_traces, ("trace_id",))
+    for number in range(3):
+        part = events.filter(F.col("part") == number).unionByName(again.filter(F.col("part") == number)).drop("part")
+        stream = _in_batches(spark, part.repartition(2), f"{base}/events", mode="append")
+        _finish(topic.start(derive.records(derive.traces(stream), ("user", "feedback"))))
+        if number == 1:
+            topic.merge(spark, topic.months(spark)[0])
+    return topic.rows(spark)
+
+
 @query
 def monthly_layout_write(spark, sf_dir):
     """Monthly partitions of a table that spans years, read back."""
@@ -542,9 +561,9 @@ def gpt_usage_enriched(spark, sf_dir):
 # --- streaming ---------------------------------------------------------------------------------
 
 
-def _in_batches(spark: SparkSession, rows: DataFrame, path: str) -> DataFrame:
+def _in_batches(spark: SparkSession, rows: DataFrame, path: str, mode: str = "errorifexists") -> DataFrame:
     """Rows as a stream of several micro-batches, by way of stored files."""
-    rows.write.parquet(path)
+    rows.write.mode(mode).parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -615,6 +634,18 @@ def incremental_tool_requests(spark, sf_dir):
     return _stream_documents(spark, "incremental_tool_requests", parts).table(spark, "tool_requests")
 
 
+@query
+def incremental_agent_requests(spark, sf_dir):
+    """Agent requests when traces are split over micro-batches that are folded in between."""
+    parts = derive.agent_documents(derive.read(spark, sf_dir, "conversations"), turns=4)
+    base = work_dir(spark, "incremental_agent_requests")
+    stored = IncrementalAgentTables(f"{base}/tables", buckets=8)
+    for half in (parts.filter("xxhash64(raw_json) % 2 = 0"), parts):  # the second brings the first again
+        _finish(stored.start(_in_batches(spark, half.repartition(2), f"{base}/documents", mode="append")))
+        stored.compact(spark)
+    return stored.table(spark, "agent_requests")
+
+
 def _stream_documents(spark: SparkSession, name: str, documents: DataFrame) -> IncrementalAgentTables:
     """Every document streamed twice, in three micro-batches of random order."""
     base = work_dir(spark, name)

@@ -447,6 +447,7 @@ ORACLE: dict[str, str] = {
     # ingest
     "ingest_traces": _INGESTED_TRACES,
     "ingest_stream": _INGESTED_TRACES,
+    "ingest_stream_monthly": _INGESTED_TRACES,
     "ingest_traces_processed": _q(
         TP0,
         f"select tp0.*, {_SECOND.format('START_TIMESTAMP')} as START_TIME, {_SECOND.format('END_TIMESTAMP')} as END_TIME,"
@@ -662,6 +663,7 @@ ORACLE: dict[str, str] = {
     ),
 }
 
+ORACLE["incremental_agent_requests"] = ORACLE["agent_requests"]
 # Documents delivered twice give what they give once.
 ORACLE |= {
     f"{name}_redelivered": ORACLE[name]

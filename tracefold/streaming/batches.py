@@ -15,6 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 
 def last_commit(spark: SparkSession, checkpoint: str) -> int:
@@ -31,6 +32,14 @@ def last_commit(spark: SparkSession, checkpoint: str) -> int:
     return -1 if newest is None else newest
 
 
+def found(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern, in any file system Spark knows."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(pattern)
+    matches = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(m.getPath().toString() for m in matches or [])
+
+
 def write_batch(df: DataFrame, folder: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
 
@@ -45,9 +54,10 @@ def together(jobs: Iterable[Callable[[], None]]) -> None:
             done.result()
 
 
-def read_batches(spark: SparkSession, folder: str, after: int, upto: int) -> DataFrame:
+def read_batches(spark: SparkSession, folder: str, after: int, upto: int, schema: StructType | None = None) -> DataFrame:
     """Rows of the batches in (after, upto], which prunes whole folders."""
-    rows = spark.read.option("basePath", folder).parquet(f"{folder}/batch_id=*")
+    reader = spark.read.option("basePath", folder)
+    rows = (reader.schema(schema) if schema else reader).parquet(f"{folder}/batch_id=*")
     return rows.filter((F.col("batch_id") > after) & (F.col("batch_id") <= upto))
 
 
