@@ -78,10 +78,19 @@ def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
     return met.groupBy("key").agg(F.array_sort(F.collect_set("kind")).alias("rules"))
 
 
+_PLACED = "array<struct<start:int,size:int,counted:int>>"
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value), with the value made once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def matches(rule: Rule, order: int, text: str = "text") -> Column:
     """Array of (start, order, kind, end) of a rule's matches.
 
     The texts between matches and the matches alternate, so their lengths add up to positions.
+    Appending copies an array, so spans are gathered in blocks of the root of their number.
     """
     expression = F.lit(rule.expression)
     found = F.regexp_extract_all(text, expression, F.lit(0))
@@ -91,21 +100,31 @@ def matches(rule: Rule, order: int, text: str = "text") -> Column:
         F.transform(found, F.char_length).alias("size"),
         F.transform(checked, F.char_length).alias("counted"),
     )
-    empty = F.array().cast("array<struct<start:int,size:int,counted:int>>")
-    placed = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), empty.alias("spans")),
-        lambda done, part: F.struct(
+    none = F.array().cast(_PLACED)
+
+    def place(done: Column, part: Column) -> Column:
+        span = F.struct((done["at"] + part["gap"]).alias("start"), part["size"], part["counted"])
+        return F.struct(
             (done["at"] + part["gap"] + F.coalesce(part["size"], F.lit(0))).alias("at"),
-            F.when(part["size"].isNull(), done["spans"]).otherwise(
-                F.concat(
-                    done["spans"],
-                    F.array(F.struct((done["at"] + part["gap"]).alias("start"), part["size"], part["counted"])),
-                )
-            ).alias("spans"),
-        ),
-        lambda done: done["spans"],
-    )
+            F.when(part["size"].isNull(), done["spans"]).otherwise(F.concat(done["spans"], F.array(span))).alias("spans"),
+        )
+
+    def place_block(done: Column, block: Column) -> Column:
+        inner = F.aggregate(block, F.struct(done["at"].alias("at"), none.alias("spans")), place)
+        return _bound(inner, lambda new: F.struct(
+            new["at"].alias("at"), F.concat(done["blocks"], F.array(new["spans"])).alias("blocks"),
+        ))
+
+    def place_all(parts: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(parts))).cast("int")  # of at least one part, the text without matches
+        blocks = F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / width).cast("int")),
+            lambda i: F.slice(parts, i * width + 1, width),
+        )
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_PLACED}>").alias("blocks"))
+        return F.flatten(F.aggregate(blocks, start, place_block, lambda done: done["blocks"]))
+
+    placed = _bound(parts, place_all)
     long_enough = F.filter(placed, lambda m: m["counted"] >= rule.least)
     return F.transform(
         long_enough,
