@@ -8,6 +8,7 @@ import re
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 
 from tracefold.llm import chat, mixing, quality, repeats, secrets, templates, trigrams
 from tracefold.llm import sentencepiece_fst as fst
@@ -103,6 +104,22 @@ def test_secrets(spark):
     assert secrets.scan(df.limit(0)).count() == 0
 
 
+def test_secrets_query_and_very_many_matches(spark, tmp_path):
+    many = "".join(f"é{i} token=abcdefgh{i} AKIA{i:016d} " for i in range(50_000))
+    texts = [None, "", many, many[:4000], many[:4000], "password: hunter2222 " + "0123456789abcdef" * 2 + " AKIA1"]
+    df = spark.createDataFrame([(i // 2, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, key string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in secrets.op5_secrets(spark, str(tmp_path)).collect()]
+    want = []
+    for i, text in enumerate(texts):
+        spans = matches_plainly(text)
+        kinds = [s.split(":")[0] for s in spans.split(",")]
+        base = ",".join(s for s in spans.split(",") if s.split(":")[0] in ("assign", "access", "hex"))
+        counts = [kinds.count(k) for k in ("assign", "access", "hex")]
+        want.append((i // 2, *counts, hashlib.sha256(base.encode()).hexdigest(), spans))
+    assert sorted(got) == sorted(want)
+
+
 def test_trigram_queries():
     assert trigrams.query("abcd") == {frozenset(["abc", "bcd"])}
     assert trigrams.query("abc|xyz[0-9]+") == {frozenset(["abc"]), frozenset(["xyz"])}
@@ -335,6 +352,53 @@ def test_quality_against_held_out_labels(spark):
     assert quality.keep_good(docs.limit(0)).count() == 0
 
 
+def quality_plainly(texts, train_rows):
+    """Row by row: votes, EM over rows instead of combinations, training texts by hash, dense scoring."""
+    data = [(t or "").encode() for t in texts]
+    cast = np.array([quality.votes(t) for t in data], float)
+    posterior = (model := quality.fit_labels(cast, np.ones(len(data)))).posterior(cast)
+    share = min(1.0, 0.9 * train_rows / len(data))
+    taught = {}
+    for t, v, p in zip(data, cast, posterior):
+        h = xxhash.xxh64_intdigest(b"train", seed=xxhash.xxh64_intdigest(t, seed=42))
+        h -= (h >> 63) << 64
+        if h / 2.0**64 + 0.5 <= share and v.any() and not 0.2 <= p <= 0.8:
+            taught[h] = *quality.features(t), p
+    rows = [taught[h] for h in sorted(taught)[:train_rows]]
+    weights = quality.fit_scorer([(i, v.astype(np.float32).astype(float)) for i, v, _ in rows], np.array([r[2] for r in rows]))
+    scores = []
+    for t in data:
+        ids, values = quality.features(t)
+        scores.append(1 / (1 + np.exp(-(weights[ids] @ values + weights[-1]))) if t.split() else 0.0)
+    return model, posterior, scores
+
+
+@pytest.mark.parametrize("train_rows", [quality.TRAIN_ROWS, 500])
+def test_quality_equals_plain_version(spark, tmp_path, monkeypatch, train_rows):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    odd = [(-1, None), (-2, ""), (-3, " \n"), (-4, "x" * 1_000_000), (-5, "word " * 100_000), (None, "A good text. It ends.")]
+    odd += [(7, r.text) for r in docs.where("doc_id in (7, 8)").collect()] * 2
+    docs.union(spark.createDataFrame(odd, docs.schema)).repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(quality.fit, "__defaults__", (train_rows,))
+    got = quality.op2_quality(spark, str(tmp_path)).orderBy("doc_id", "score").collect()
+    table = spark.read.parquet(f"{tmp_path}/documents.parquet").collect()
+    _, posterior, scores = quality_plainly([r.text for r in table], train_rows)
+    want = sorted(zip([r.doc_id for r in table], scores, posterior), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert [r.doc_id for r in got] == [w[0] for w in want]
+    assert [r.score for r in got] == pytest.approx([w[1] for w in want], abs=1e-4)
+    assert [r.posterior for r in got] == pytest.approx([w[2] for w in want], abs=1e-6)
+    assert all(r.keep == (w[1] >= 0.5) for r, w in zip(got, want) if abs(w[1] - 0.5) > 1e-4)
+
+
+def test_quality_with_clashing_names(spark):
+    rows = [(i, "Some good words here, and more. " * 3 if i % 2 else "## $$ @@ | | | ##", i, "s", i) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _score int, _keep string, `a.b` int")
+    kept = quality.keep_good(df)
+    assert kept.schema == df.schema and kept.collect() == df.where("doc_id % 2 = 1").collect()
+    scored = quality.score(df, quality.fit(df))
+    assert scored.columns == ["doc_id", "text", "a.b", *quality.FOUND] and scored.schema["_score"].dataType.typeName() == "double"
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 

@@ -7,12 +7,15 @@ posterior of every combination. Documents with their posterior as soft label the
 train a linear scorer over hashed word and word-shape features, which decides.
 
 The vote table has at most 3^7 rows whatever the corpus, and EM runs on it in the
-driver. The scorer is fitted on a sample of at most TRAIN_ROWS documents, the
-bound the contract allows; votes, posteriors and scores cover all rows.
+driver. The scorer is fitted on at most TRAIN_ROWS distinct texts, the bound the
+contract allows: those of smallest hash among the texts that the labellers are sure
+of, so reruns and other layouts of the table train on the same ones. Votes,
+posteriors and scores cover all rows.
 
 A document without words (NULL, empty, blank) gets no votes and score 0 and is
 rejected. Each row is judged by its text alone, so repeated rows and ids get equal
-decisions. Other columns pass through `keep_good` unchanged.
+decisions. Other columns pass through `keep_good` unchanged, whatever their names;
+`score` replaces given columns that have the names of its own.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ LABELLERS = ("symbols", "capitals", "variety", "stutter", "marks", "bars", "sent
 TRAIN_ROWS = 6_000
 BUCKETS = 1 << 13
 _CACHE = 100_000
+FOUND = ("_posterior", "_score", "_keep")
 
 _ASCII_LETTERS = bytes(range(65, 91)) + bytes(range(97, 123))
 _CAPITALS = bytes(range(65, 91))
@@ -91,7 +95,7 @@ class LabelModel:
 def fit_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100, smooth: float = 1.0) -> LabelModel:
     """Expectation-maximisation over vote combinations and their numbers of documents.
 
-    Starts from the majority vote. Documents no labeller votes on say nothing.
+    Starts from calling a document bad that has a bad vote and a vote sum of 2 or less. Documents no labeller votes on say nothing.
     """
     patterns, counts = np.asarray(patterns, float), np.asarray(counts, float)
     m = patterns.shape[1]
@@ -120,7 +124,7 @@ _CLASSES = ((re.compile(rb"[A-Z]+"), b"X"), (re.compile(rb"[a-z\x80-\xff]+"), b"
 
 def word_features(word: bytes) -> list[int]:
     """Buckets of a word: itself in lower case, its shape, its last two characters."""
-    shape = word[:64]
+    shape = word
     for pattern, mark in _CLASSES:
         shape = pattern.sub(mark, shape)
     return [zlib.crc32(x) % BUCKETS for x in (b"w" + word.lower(), b"s" + shape, b"e" + word[-2:])]
@@ -212,19 +216,20 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Classifier:
 
     def learn_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t in batch.column(0):
+            for t, h in zip(batch.column(0), batch.column(1)):
                 pattern = np.array([votes(t.as_py())], float)
                 good = float(model.posterior(pattern)[0])
                 # Only combinations the labellers are sure of teach.
                 if pattern.any() and not 0.2 <= good <= 0.8:
                     ids, values = features(t.as_py())
-                    row = ids.astype(np.int16).tobytes(), values.astype(np.float32).tobytes(), good
-                    yield pa.record_batch([pa.array([x]) for x in row], ["ids", "values", "good"])
+                    row = ids.astype(np.int16).tobytes(), values.astype(np.float32).tobytes(), good, h.as_py()
+                    yield pa.record_batch([pa.array([x]) for x in row], ["ids", "values", "good", "h"])
 
     share = min(1.0, 0.9 * train_rows / max(1.0, counts.sum()))
-    hashed = F.xxhash64("t", F.lit("train")) / F.lit(2.0**64) + 0.5
-    rows = _texts(docs).where(hashed <= share).mapInArrow(learn_rows, "ids binary, values binary, good double")
-    sample = rows.limit(train_rows).toArrow().sort_by([("good", "ascending"), ("ids", "ascending")])
+    hashed = _texts(docs).withColumn("h", F.xxhash64("t", F.lit("train")))
+    hashed = hashed.where(F.col("h") / F.lit(2.0**64) + 0.5 <= share)
+    rows = hashed.mapInArrow(learn_rows, "ids binary, values binary, good double, h long")
+    sample = rows.dropDuplicates(["h"]).orderBy("h").limit(train_rows).toArrow()
     hashed_rows = [
         (np.frombuffer(i, np.int16).astype(np.int64), np.frombuffer(v, np.float32).astype(float))
         for i, v in zip(sample["ids"].to_pylist(), sample["values"].to_pylist())
@@ -234,25 +239,32 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Classifier:
 
 def score(docs: DataFrame, model: Classifier) -> DataFrame:
     """The rows of `docs` with `_posterior` (of their votes), `_score` (of the scorer) and `_keep`."""
-    names = docs.columns
+    kept = [c for c in docs.columns if c not in FOUND]
+    return _scored(docs, model).select(*[F.col(f"row.`{c}`") for c in kept], *FOUND)
+
+
+def _scored(docs: DataFrame, model: Classifier) -> DataFrame:
+    """(row, _posterior, _score, _keep), whole rows of `docs` as structs."""
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     out = docs.withColumns({"_posterior": F.lit(0.0), "_score": F.lit(0.0), "_keep": F.lit(True)}).schema
-    at, labels, weights, threshold = names.index("text"), model.labels, model.weights, model.threshold
+    at = docs.schema["row"].dataType.names.index("text")
+    labels, weights, threshold = model.labels, model.weights, model.threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(weights)
         for batch in batches:
-            texts = [(t.as_py() or "").encode() for t in batch.column(at)]
+            texts = [(t.as_py() or "").encode() for t in batch.column(0).field(at)]
             cast = np.array([votes(t) for t in texts], float).reshape(-1, len(LABELLERS))
             scores = np.array([scorer(t) for t in texts], float)
             found = [pa.array(labels.posterior(cast)), pa.array(scores), pa.array(scores >= threshold)]
-            yield pa.record_batch([*batch.columns, *found], [*batch.schema.names, "_posterior", "_score", "_keep"])
+            yield pa.record_batch([batch.column(0), *found], ["row", *FOUND])
 
     return docs.mapInArrow(run, out)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that a classifier fitted on them keeps."""
-    return score(docs, fit(docs)).where("_keep").select(*docs.columns)
+    return _scored(docs, fit(docs)).where("_keep").select("row.*")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
