@@ -170,6 +170,45 @@ def test_bad_records_are_set_aside(spark):
     assert records.split_records(df, tombstones=True)[0].count() == 3
 
 
+def test_unfit_values_are_set_aside_with_their_reason(spark):
+    def reasons(schema, *docs, flatten=True):
+        df = _records(spark, *[json.dumps(d) for d in docs])
+        good, bad = records.split_records(df, schema=schema, flatten=flatten)
+        assert good.columns == df.columns and good.count() + bad.count() == len(docs)
+        return {r.value: r.error.removeprefix("unfit: ") for r in bad.collect()}
+
+    odd = {"input": {"a": 1}, "app_id": ["z"], "output": 5, "start_timestamp": "x"}
+    fine = [
+        {}, {"app_id": None, "latency": None}, {"output": True, "app_id": 7}, {"latency": 5, "start_timestamp": 1 << 40},
+        {"user": {"id": "u", "other": [1]}}, {"unknown": {"app_id": []}, "feedback": "x"}, {"user_id": "", "feedback_tag": ""},
+    ]
+    assert reasons(schemas.TRACES, odd, *fine) == {json.dumps(odd): "app_id ARRAY, input OBJECT, start_timestamp STRING"}
+    nested = {"user": {"id": ["x"], "phone": {"a": 1}}, "latency": 1.5, "end_timestamp": True}
+    assert reasons(schemas.TRACES, nested) == {
+        json.dumps(nested): "end_timestamp BOOLEAN, latency DECIMAL, user_id ARRAY, user_phone OBJECT"
+    }
+    big = {"latency": 1 << 31}
+    assert reasons(schemas.TRACES, big) == {json.dumps(big): "latency BIGINT"}
+
+    deep = {"SENTIMENT": {"PROMPT": {"POSITIVE": "much"}}}
+    good = {"SENTIMENT_PROMPT": {"POSITIVE": 0.5}, "TOKENS": {"SPENT": {"PROMPT": 3}}, "READABILITY": {"RESPONSE": 1}}
+    assert reasons(schemas.TRACES_PROCESSED, deep, good) == {json.dumps(deep): "SENTIMENT_PROMPT_POSITIVE STRING"}
+
+    whole = {"user": {"ip": []}, "status_code": "200"}
+    assert reasons(schemas.METRICS, whole, flatten=False) == {json.dumps(whole): "status_code STRING"}
+    event = {"sensitive_data_types": "a", "date": "2024-01-02", "hour": "noon", "tab_id": 4}
+    assert reasons(schemas.DISCOVER_EVENTS, event) == {json.dumps(event): "hour STRING, sensitive_data_types STRING"}
+
+
+def test_unfit_and_unreadable_records_together(spark):
+    df = _records(spark, '{"latency":"x"}', '{"latency":', "[1]", None, '{"latency":1}')
+    good, bad = records.split_records(df, schema=schemas.TRACES)
+    assert collected(good) == ["('{\"latency\":1}',)"]
+    assert collected(bad, ["error"]) == ["('empty',)", "('not JSON',)", "('not an object',)", "('unfit: latency STRING',)"]
+    assert records.split_records(df, tombstones=True, schema=schemas.TRACES)[0].count() == 2
+    assert records.quarantine_unfit_records(df, schemas.TRACES).count() == 4
+
+
 def test_flatten_keeps_arrays(spark):
     df = spark.range(1).select(F.struct(F.struct(F.lit(1).alias("c")).alias("b"), F.array(F.lit(2)).alias("l")).alias("a"))
     assert records.flatten_record(df).columns == ["a_b_c", "a_l"]

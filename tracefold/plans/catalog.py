@@ -8,6 +8,7 @@ from functools import partial, wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracefold import schemas
 from tracefold.functions import enrich
 from tracefold.functions.timeparts import date_of, month_of
 from tracefold.operators import agent_views, agents, conversations, events, merge, spans, topics, usage
@@ -153,6 +154,19 @@ def quarantine_bad_records(spark, sf_dir):
     return bad.groupBy("error").agg(F.count("*").alias("records"))
 
 
+@query
+def quarantine_unfit_values(spark, sf_dir):
+    """Trace records with values of the wrong type, through the streaming sink: rows loaded and records set aside."""
+    base = work_dir(spark, "quarantine_unfit_values")
+    stream = derive.mistyped_records(derive.read_stream(spark, sf_dir, "events"))
+    topic = TopicTable(base, records.ingest_traces, schema=schemas.TRACES)
+    _finish(topic.start(stream))
+    loaded = topic.rows(spark).select(F.lit("").alias("error"), "trace_id", F.col("latency").cast("bigint").alias("latency"))
+    ids = F.get_json_object("value", "$.trace_id")
+    aside = topic.bad(spark).select("error", ids.alias("trace_id"), F.lit(None).cast("bigint").alias("latency"))
+    return loaded.unionByName(aside)
+
+
 @query
 def dedupe_redelivery(spark, sf_dir):
     """Every record delivered twice comes out once."""

@@ -311,6 +311,22 @@ def damaged_records(events: DataFrame) -> DataFrame:
     )
 
 
+def mistyped_records(events: DataFrame) -> DataFrame:
+    """Trace records of which some hold values of the wrong type, by kind of event."""
+    odd = {
+        "error": "'start_timestamp', 'soon', 'input', map('a', '1')",
+        "click": "'app_id', array('z'), 'latency', 1.5D",
+        "view": "'latency', 3000000000L, 'user', named_struct('id', map('x', 'y'))",
+        "purchase": "'output', 5, 'end_timestamp', cast(null as bigint)",
+    }
+    value = F.lit(None).cast("string")
+    for kind, fields in odd.items():
+        record = F.expr(f"to_json(named_struct('trace_id', event_id, 'interaction_id', user_id, {fields}), map('ignoreNullFields', 'false'))")
+        value = F.when(F.col("event_type") == kind, record).otherwise(value)
+    plain = F.expr("to_json(named_struct('trace_id', 't' || event_id, 'latency', user_id, 'user', named_struct('id', 'u' || user_id)))")
+    return events.select(F.coalesce(value, plain).alias("value"))
+
+
 def document_traces(documents: DataFrame) -> DataFrame:
     """Traces that carry whole documents as their response."""
     return documents.select(

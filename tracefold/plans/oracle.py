@@ -478,6 +478,14 @@ ORACLE: dict[str, str] = {
         "select case event_type when 'error' then 'not JSON' else 'not an object' end as error, count(*) as records"
         " from events where event_type in ('error', 'click') group by 1"
     ),
+    "quarantine_unfit_values": (
+        "select case event_type when 'error' then 'unfit: input OBJECT, start_timestamp STRING'"
+        " when 'click' then 'unfit: app_id ARRAY, latency DECIMAL'"
+        " when 'view' then 'unfit: latency BIGINT, user_id OBJECT' else '' end as error,"
+        " case when event_type in ('error', 'click', 'view', 'purchase') then '' else 't' end || event_id as trace_id,"
+        " case when event_type in ('error', 'click', 'view') then null when event_type = 'purchase' then 0"
+        " else user_id end as latency from events"
+    ),
     "dedupe_redelivery": _q(_TRACES, "select trace_id, app_id, start_timestamp, input from t"),
     "monthly_layout_write": _q(
         _GPT,

@@ -54,10 +54,90 @@ def _is_object() -> Column:
     return F.json_object_keys(F.col("value").cast("string")).isNotNull()
 
 
-def split_records(records: DataFrame, tombstones: bool = False) -> tuple[DataFrame, DataFrame]:
+def _bound(value: Column, use) -> Column:
+    """use(value), with the value made once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def unfit_values(schema: T.StructType, flatten: bool = True, value: str = "value") -> Column:
+    """Array of (column, kind): the values of a record that a load into `schema` would lose.
+
+    Unfit are text or fractions in whole-number columns, whole numbers that are too
+    large, text in number columns, what is no list in list columns, what is no date or
+    time in such columns, and objects or lists in text columns. Numbers and flags fit
+    text columns, which keep them as text; NULL fits every column. With `flatten`,
+    nested objects are looked through as far as column names lead. `kind` is the JSON
+    type found. A record that is no object has none.
+    """
+    names = schema.fieldNames()
+    # Objects that lead to columns, such as user for user_id.
+    inner = sorted({"_".join(n.split("_")[:i]) for n in names for i in range(1, n.count("_") + 1)}) if flatten else []
+    depth = max((n.count("_") for n in names), default=0) if flatten else 0
+
+    def among(path: Column, chosen: list[str]) -> Column:
+        return F.array_contains(F.lit(chosen).cast("array<string>"), path)
+
+    def fields(doc: Column) -> Column:
+        return F.coalesce(
+            F.map_entries(F.try_variant_get(doc, "$", "map<string,variant>")),
+            F.array().cast("array<struct<key:string,value:variant>>"),
+        )
+
+    def below(nodes: Column) -> Column:
+        objects = F.filter(nodes, lambda x: among(x["key"], inner) & F.schema_of_variant(x["value"]).startswith("OBJECT"))
+        return F.flatten(F.transform(objects, lambda x: F.transform(fields(x["value"]), lambda y: F.struct(
+            F.concat_ws("_", x["key"], y["key"]).alias("key"), y["value"].alias("value")
+        ))))
+
+    def all_nodes(top: Column) -> Column:
+        if not depth:
+            return top
+        grown = F.aggregate(
+            F.sequence(F.lit(1), F.lit(depth)),
+            F.struct(top.alias("all"), top.alias("last")),
+            lambda done, _: _bound(below(done["last"]), lambda new: F.struct(
+                F.concat(done["all"], new).alias("all"), new.alias("last")
+            )),
+        )
+        return grown["all"]
+
+    def of(kind: str) -> list[str]:
+        return [f.name for f in schema.fields if f.dataType.simpleString() == kind]
+
+    def lost(node: Column, kind: Column) -> Column:
+        path, number = node["key"], kind.isin("BIGINT", "DOUBLE", "FLOAT", "DECIMAL")
+        nested = kind.isin("OBJECT", "ARRAY")
+        out = among(path, of("string")) & nested & ~((kind == "OBJECT") & among(path, inner))
+        out = out | (among(path, of("double")) & ~number)
+        out = out | (among(path, [n for n in names if schema[n].dataType.typeName() == "array"]) & (kind != "ARRAY"))
+        for whole in ("int", "bigint"):
+            fits = (kind == "BIGINT") & F.try_variant_get(node["value"], "$", whole).isNotNull()
+            out = out | (among(path, of(whole)) & ~fits)
+        for time in ("date", "timestamp"):
+            fits = (kind == "STRING") & F.try_variant_get(node["value"], "$", time).isNotNull()
+            out = out | (among(path, of(time)) & ~fits)
+        return out & (kind != "VOID")
+
+    def judged(node: Column) -> Column:
+        kind = F.regexp_extract(F.schema_of_variant(node["value"]), "^[A-Z]+", 0)
+        return _bound(kind, lambda k: F.struct(node["key"].alias("column"), k.alias("kind"), lost(node, k).alias("lost")))
+
+    wanted = _bound(fields(parse(F.col(value).cast("string"))), all_nodes)
+    verdicts = F.transform(F.filter(wanted, lambda x: among(x["key"], names)), judged)
+    return F.transform(
+        F.filter(verdicts, lambda v: v["lost"]),
+        lambda v: F.struct(v["column"].alias("column"), v["kind"].alias("kind")),
+    )
+
+
+def split_records(
+    records: DataFrame, tombstones: bool = False, schema: T.StructType | None = None, flatten: bool = True
+) -> tuple[DataFrame, DataFrame]:
     """(good, bad): bad records are kept with a reason, never fail the job.
 
-    A NULL value is a deletion where the topic allows `tombstones`, else bad.
+    A NULL value is a deletion where the topic allows `tombstones`, else bad. With
+    `schema`, records with unfit values (see `unfit_values`) are bad too; the reason
+    names the columns and what was found in them.
     """
     good = _is_object()
     if tombstones:
@@ -65,9 +145,14 @@ def split_records(records: DataFrame, tombstones: bool = False) -> tuple[DataFra
     reason = (
         F.when(F.col("value").isNull(), "empty")
         .when(parse(F.col("value").cast("string")).isNull(), "not JSON")
-        .otherwise("not an object")
+        .when(~_is_object(), "not an object")
     )
-    return records.filter(good), records.filter(~good).withColumn("error", reason)
+    if schema is None:
+        return records.filter(good), records.filter(~good).withColumn("error", reason)
+    unfit = F.transform(unfit_values(schema, flatten), lambda v: F.concat_ws(" ", v["column"], v["kind"]))
+    names = F.concat(F.lit("unfit: "), F.array_join(F.array_sort(unfit), ", "))
+    judged = records.withColumn("error", F.when(~good, reason).otherwise(F.nullif(names, F.lit("unfit: "))))
+    return judged.filter("error is null").drop("error"), judged.filter("error is not null")
 
 
 def quarantine_bad_records(records: DataFrame) -> DataFrame:
@@ -75,6 +160,11 @@ def quarantine_bad_records(records: DataFrame) -> DataFrame:
     return split_records(records)[1]
 
 
+def quarantine_unfit_records(records: DataFrame, schema: T.StructType, flatten: bool = True) -> DataFrame:
+    """The records that cannot be loaded into `schema` without loss, with the reason."""
+    return split_records(records, schema=schema, flatten=flatten)[1]
+
+
 def dedupe_redelivery(rows: DataFrame, keys: list[str], watermark: tuple[str, str] | None = None) -> DataFrame:
     """Drop copies that an at-least-once source delivered again.
 

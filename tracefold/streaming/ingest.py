@@ -13,6 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from tracefold import schemas
 from tracefold.sources.records import split_records
@@ -24,12 +25,17 @@ POLL = "5 seconds"
 
 
 def with_rows(
-    batch: DataFrame, load: Callable[[DataFrame], DataFrame], tombstones: bool, use: Callable[[DataFrame, DataFrame], object]
+    batch: DataFrame,
+    load: Callable[[DataFrame], DataFrame],
+    tombstones: bool,
+    use: Callable[[DataFrame, DataFrame], object],
+    schema: StructType | None = None,
+    flatten: bool = True,
 ) -> None:
-    """Call `use` with a batch's rows and its bad records."""
+    """Call `use` with a batch's rows and its bad records; `schema` sets aside records with unfit values."""
     batch = batch.persist()
     try:
-        good, bad = split_records(batch, tombstones)
+        good, bad = split_records(batch, tombstones, schema, flatten)
         use(load(good), bad)
     finally:
         batch.unpersist()
@@ -40,12 +46,15 @@ class TopicTable:
     """A topic loaded into `<base>/rows`; bad records go to `<base>/bad`.
 
     `load` is one of the `ingest_*` functions. Bad records never stop the
-    stream, and a batch that runs again replaces its own output.
+    stream, and a batch that runs again replaces its own output. With `schema`, the
+    columns of the topic, records with values of the wrong type are bad as well.
     """
 
     base: str
     load: Callable[[DataFrame], DataFrame]
     tombstones: bool = False
+    schema: StructType | None = None
+    flatten: bool = True
 
     @property
     def checkpoint(self) -> str:
@@ -54,7 +63,7 @@ class TopicTable:
     def write(self, batch: DataFrame, batch_id: int) -> None:
         with_rows(batch, self.load, self.tombstones, lambda rows, bad: (
             write_batch(rows, f"{self.base}/rows", batch_id), write_batch(bad, f"{self.base}/bad", batch_id)
-        ))
+        ), self.schema, self.flatten)
 
     def start(self, records: DataFrame, every: str | None = None) -> StreamingQuery:
         return run_batches(records, self.checkpoint, self.write, every=every)
@@ -94,6 +103,8 @@ class MonthlyTopic:
     table: str
     load: Callable[[DataFrame], DataFrame]
     keys: tuple[str, ...] = ()
+    schema: StructType | None = None
+    flatten: bool = True
 
     @property
     def checkpoint(self) -> str:
@@ -116,7 +127,7 @@ class MonthlyTopic:
                 f"{self.base}/rows"
             )
 
-        with_rows(batch, self.load, False, store)
+        with_rows(batch, self.load, False, store, self.schema, self.flatten)
 
     def _hashes(self, rows: DataFrame) -> list[Column]:
         everything = [x for c in rows.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
