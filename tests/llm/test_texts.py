@@ -289,6 +289,40 @@ def test_mixing(spark, sf_dir):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def missed(mixed):
+    """By source: the share of its target that is open, and whether no copy left over would fit into it."""
+    by = {}
+    for r in mixed:
+        by.setdefault(r.source, []).append(r)
+    out = {}
+    for source, rows in by.items():
+        target = rows[0].target
+        gap = target - sum(r.taken for r in rows)
+        left = [r.size for r in rows if r.size and len(r.positions) < mixing.REPEATS]
+        out[source] = (gap / max(1, target), not left or min(left) > gap)
+        assert gap >= 0
+    return out
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_sources_come_near_their_targets(spark, sf):
+    mixed = mixing.mix(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).collect()
+    misses = missed(mixed)
+    assert all(share < 0.02 or tight for share, tight in misses.values()), misses
+    assert sorted(share for share, _ in misses.values())[len(misses) // 2] < 0.02
+
+
+def test_fill_takes_one_size_in_buckets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 4)
+    rows = [(i, "w " * (40 if i == 3 else 2), "b") for i in range(200)] + [(i, "w " * 900, "a") for i in range(300, 302)]
+    rows += [(400 + i, "w " * (5 + i % 3), "c") for i in range(100)] + [(600, None, "b"), (601, "", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    first, again = mixing.mix(df).collect(), mixing.mix(df.repartition(2)).collect()
+    assert sorted(map(str, first)) == sorted(map(str, again))
+    assert all(tight or share < 0.02 for share, tight in missed(first).values())
+    assert all(len(r.positions) <= 2 and r.taken == r.size * len(r.positions) for r in first) and len(first) == len(rows)
+
+
 def test_training_order_by_row(spark):
     random.seed(13)
     rows = [(random.choice([None, None, 7, i]), f"{i} " * random.randrange(1, 9), random.choice(["a", "b", "c", None])) for i in range(300)]
