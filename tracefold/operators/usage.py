@@ -73,6 +73,8 @@ USER_DAYS = Rollup(
     {"n": ("count", "1")},
     _known_user,
 )
+# The day a user came first, over the whole history. Late rows lower it.
+FIRST_SEEN = Rollup("first_seen", ("APP_ID", "USER_ID"), {"first_day": ("min", "EVENT_DATE")}, _known_user)
 SESSION_DAYS = Rollup("session_days", (*DAY, "SESSION_ID"), {"n": ("count", "1")}, _known_user)
 LOCATION_DAYS = Rollup("location_days", (*DAY, "LOCATION"), {"n": ("count", "1")}, _known_user)
 LANGUAGE_DAYS = Rollup("language_days", (*DAY, "LANG_PROMPT"), {"n": ("count", "1")}, messages)
@@ -175,23 +177,38 @@ def traces_usage_metrics(traces_processed: DataFrame, apps: DataFrame) -> DataFr
 
 
 def finish_users(
-    user_days: DataFrame, session_days: DataFrame, location_days: DataFrame | None = None
+    user_days: DataFrame,
+    session_days: DataFrame,
+    location_days: DataFrame | None = None,
+    first_seen: DataFrame | None = None,
 ) -> DataFrame:
     """A user is new on the first of their days in the app's whole history.
 
-    The window holds the days of one user, never their messages.
+    The window holds the days of one user, never their messages. With the merged
+    `FIRST_SEEN` state the other states may hold a range of days only, and users
+    are counted by their first day, without a window or a join on users.
     """
-    history = Window.partitionBy("APP_ID", "USER_ID")
-    users = (
-        user_days.withColumn("is_new", F.col("EVENT_DATE") == F.min("EVENT_DATE").over(history))
-        .groupBy(*DAY)
-        .agg(F.count("*").alias("users_count"), F.count_if("is_new").alias("new_users_count"))
-    )
+    if first_seen is not None:
+        users = _users_by_first_day(user_days, first_seen)
+    else:
+        history = Window.partitionBy("APP_ID", "USER_ID")
+        users = (
+            user_days.withColumn("is_new", F.col("EVENT_DATE") == F.min("EVENT_DATE").over(history))
+            .groupBy(*DAY)
+            .agg(F.count("*").alias("users_count"), F.count_if("is_new").alias("new_users_count"))
+        )
     sessions = session_days.groupBy(*DAY).agg(F.count("*").alias("sessions_count"))
     joined = users.join(sessions, DAY)
     return with_day(joined.join(_countries(location_days), DAY) if location_days is not None else joined)
 
 
+def _users_by_first_day(user_days: DataFrame, first_seen: DataFrame) -> DataFrame:
+    """Users and new users a day. A user's first day is one of their days, so days only need to be added up."""
+    seen = user_days.groupBy(*DAY).agg(F.count("*").alias("users_count"))
+    came = first_seen.groupBy("APP_ID", F.col("first_day").alias("EVENT_DATE")).agg(F.count("*").alias("new_users_count"))
+    return seen.join(came, DAY, "left").withColumn("new_users_count", or_zero("new_users_count"))
+
+
 def _countries(location_days: DataFrame) -> DataFrame:
     """Countries with their message counts: the list of all locations of a day,
     held as (value, multiplicity) so that its size follows the countries, not

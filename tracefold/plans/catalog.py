@@ -634,6 +634,26 @@ def incremental_topics(spark, sf_dir):
     return topics.kpi_topics_1d_view(*states, _apps(spark, sf_dir))
 
 
+@query
+def incremental_user_metrics(spark, sf_dir):
+    """User figures of a range of days from states folded after every batch, with the first days of users kept.
+
+    The newest events come first, so that every batch moves first days.
+    """
+    needed = (usage.USER_DAYS, usage.SESSION_DAYS, usage.LOCATION_DAYS, usage.FIRST_SEEN)
+    base = work_dir(spark, "incremental_user_metrics")
+    stored = IncrementalRollups(f"{base}/tables", needed, fanout=2)
+    rows = derive.read(spark, sf_dir, "events")
+    cut = rows.agg(F.percentile_approx("ts", F.array(F.lit(0.3), F.lit(0.6))).alias("at")).first()["at"]
+    age = F.when(F.col("ts") > cut[1], 0).when(F.col("ts") > cut[0], 1).otherwise(2)
+    for part in range(3):
+        stream = _in_batches(spark, rows.filter(age == part).repartition(2), f"{base}/events", mode="append")
+        _finish(stored.start(derive.traces_processed(stream)))
+        stored.compact(spark)
+    days, sessions, places = [stored.state(spark, r, *derive.USER_RANGE) for r in needed[:3]]
+    return usage.finish_users(days, sessions, places, stored.state(spark, usage.FIRST_SEEN)).drop("countries")
+
+
 @query
 def incremental_agent_tables(spark, sf_dir):
     """Dependency graph from streamed agent tables."""

@@ -15,6 +15,9 @@ from tracefold.functions.timeparts import date_of, hour_of, second_of
 
 AS_OF = "2024-01-13 12:00:00"
 
+# Days asked for of a stored state.
+USER_RANGE = ("2024-01-06", "2024-01-21")
+
 # Every given table: a number column and a text column to compare copies by.
 TABLE_KEYS = {
     "region": ("r_regionkey", "r_name"),

@@ -671,6 +671,9 @@ ORACLE: dict[str, str] = {
     ),
 }
 
+ORACLE["incremental_user_metrics"] = _q(
+    f"{MSG},\n{_USERS}", "select * from users where EVENT_DATE between '{}' and '{}'".format(*derive.USER_RANGE)
+)
 ORACLE["incremental_agent_requests"] = ORACLE["agent_requests"]
 # Documents delivered twice give what they give once.
 ORACLE |= {

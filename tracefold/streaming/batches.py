@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+T = TypeVar("T")
+
 
 def last_commit(spark: SparkSession, checkpoint: str) -> int:
     """Newest committed batch of a stream, -1 before the first.
@@ -44,20 +47,20 @@ def write_batch(df: DataFrame, folder: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
 
 
-def together(jobs: Iterable[Callable[[], None]]) -> None:
+def together(jobs: Iterable[Callable[[], T]]) -> list[T]:
     """Run independent Spark jobs at the same time; the first error is raised.
 
     One job after the other would leave the cluster idle at the end of each.
     """
     with ThreadPoolExecutor(max_workers=8) as pool:
-        for done in [pool.submit(job) for job in jobs]:
-            done.result()
+        return [done.result() for done in [pool.submit(job) for job in jobs]]
 
 
 def read_batches(spark: SparkSession, folder: str, after: int, upto: int, schema: StructType | None = None) -> DataFrame:
-    """Rows of the batches in (after, upto], which prunes whole folders."""
+    """Rows of the batches in (after, upto]; files of other batches are not listed."""
     reader = spark.read.option("basePath", folder)
-    rows = (reader.schema(schema) if schema else reader).parquet(f"{folder}/batch_id=*")
+    inside = [path for path in found(spark, f"{folder}/batch_id=*") if after < int(path.rsplit("=", 1)[1]) <= upto]
+    rows = (reader.schema(schema) if schema else reader).parquet(*(inside or [f"{folder}/batch_id=*"]))
     return rows.filter((F.col("batch_id") > after) & (F.col("batch_id") <= upto))
 
 
