@@ -60,10 +60,20 @@ ROW = ["_row", "_row2"]
 
 def row_keys(docs: DataFrame) -> list[Column]:
     """Two hashes of a row's columns as ROW. Only equal rows share both."""
-    values = [x for c in docs.columns for x in (docs[c], docs[c].isNull())]
+    values = [x for c in columns(docs) for x in (c, c.isNull())]
     return [F.xxhash64(*values).alias(ROW[0]), F.xxhash64(F.lit(7), *values).alias(ROW[1])]
 
 
+def columns(docs: DataFrame) -> list[Column]:
+    """All columns, whatever characters their names hold."""
+    return [docs["`" + c.replace("`", "``") + "`"] for c in docs.columns]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(row, _row, _row2): whole rows as structs, so that their columns may have any name, and their keys."""
+    return docs.select(F.struct(*columns(docs)).alias("row"), *row_keys(docs))
+
+
 def join_by_id(docs: DataFrame, found: DataFrame, how: str = "inner", key: str = "doc_id") -> DataFrame:
     """`docs` with the other columns of `found`, joined by `key`, NULL equal to NULL.
 

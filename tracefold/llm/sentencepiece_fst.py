@@ -479,6 +479,8 @@ def _transform(rows: DataFrame, model: Model | str | None, read: str, write: dic
     model = Model.read(model) if isinstance(model, str) else model
     rows = rows.drop(*write)
     shared, at, encode, decode = _Shared(spark, model), rows.columns.index(read), "ids" in write, "decoded" in write
+    names = [*rows.columns, *write]
+    rows = rows.toDF(*(f"c{i}" for i in range(len(rows.columns))))  # names with dots do not pass mapInArrow
     schema = T.StructType([*rows.schema.fields, *(T.StructField(n, t) for n, t in write.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -501,7 +503,7 @@ def _transform(rows: DataFrame, model: Model | str | None, read: str, write: dic
                     added.append(pa.array(texts, pa.string()))
                 yield pa.record_batch([*batch.columns, *added], [*batch.schema.names, *write])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*names)
 
 
 _IDS = {"ids": T.ArrayType(T.IntegerType())}

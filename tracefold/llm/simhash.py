@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, components, row_keys, saved, table
+from .common import ROW, components, keyed, row_keys, saved, table
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -237,7 +237,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS)
         F.col("first.key1").alias(ROW[0]), F.col("first.key2").alias(ROW[1])
     )
     kept = saved(kept, "kept")
-    return docs.select("*", *row_keys(docs)).join(kept, ROW).dropDuplicates(ROW).select(*docs.columns)
+    return keyed(docs).join(kept, ROW).dropDuplicates(ROW).select("row.*")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
