@@ -153,6 +153,18 @@ def test_hot_topic_durations(hot):
     assert timed.filter("CONVERSATION_ID = 'hot'").count() < labels.count()
 
 
+def test_durations_are_not_sent_to_the_driver(spark, hot):
+    """Small or not, the lengths of all conversations are joined by sorting; a key may be NULL."""
+    blank = F.when(F.col("CONVERSATION_ID") != "hot", F.col("CONVERSATION_ID"))
+    state = topics.TOPIC_CONVERSATIONS.partial(hot.withColumn("CONVERSATION_ID", blank))
+    timed = topics.conversation_duration(state)
+    text = plan(timed)
+    assert "SortMergeJoin" in text and "Broadcast" not in text
+    assert timed.count() == state.count()
+    low, high = state.filter("CONVERSATION_ID is null").groupBy("APP_ID").agg(F.min("min_start"), F.max("max_end")).first()[1:]
+    assert {r.duration_ms for r in timed.filter("CONVERSATION_ID is null").collect()} == {high - low}
+
+
 def test_stored_spans_are_read_by_kind(spark, sf_dir, tmp_path):
     documents = derive.agent_documents(derive.read(spark, sf_dir, "conversations"))
     text = plan(agents.tool_requests(spans.write_spans(documents, str(tmp_path / "s"))))

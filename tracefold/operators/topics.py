@@ -94,13 +94,15 @@ def conversation_duration(topic_conversations: DataFrame) -> DataFrame:
 
     An aggregate and a join, not a window: the aggregate combines on the map side
     and the join can be split, so a conversation of very many topics and days (a
-    blank id, say) does not gather in one task.
+    blank id, say) does not gather in one task. The join is hinted, as there are as
+    many lengths as conversations and Spark, which takes them for smaller than the
+    files, would send all of them through the driver.
     """
     whole = topic_conversations.groupBy(F.col("APP_ID").alias("_app"), F.col("CONVERSATION_ID").alias("_id")).agg(
         (F.max("max_end") - F.min("min_start")).alias("duration_ms")
     )
     its_own = F.col("APP_ID").eqNullSafe(F.col("_app")) & F.col("CONVERSATION_ID").eqNullSafe(F.col("_id"))
-    return topic_conversations.join(whole, its_own).drop("_app", "_id")
+    return topic_conversations.join(whole.hint("merge"), its_own).drop("_app", "_id")
 
 
 def _topic_sums(days: DataFrame, per_message: DataFrame, per_conversation: DataFrame, keys: Sequence[str]) -> DataFrame:
