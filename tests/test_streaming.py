@@ -11,6 +11,7 @@ from tracefold.operators.spans import explode_spans
 from tracefold.plans import derive
 from tracefold.session import work_dir
 from tracefold.sources import records
+from tracefold.streaming import ingest
 from tracefold.streaming.agents import TABLES, IncrementalAgentTables
 from tracefold.streaming.batches import last_commit
 from tracefold.streaming.counts import read_daily_counts, start_daily_counts
@@ -66,6 +67,27 @@ def test_monthly_topic(spark, tmp_path):
     assert topic.rows(spark).count() == 32
 
 
+@pytest.mark.parametrize("records_a_task, most", [(50_000, 30), (4, 4)])
+def test_a_batch_in_one_part_is_parsed_by_many_tasks(spark, tmp_path, monkeypatch, records_a_task, most):
+    """A task parses a bounded number of records, and copies still go."""
+    monkeypatch.setattr(ingest, "RECORDS", records_a_task)
+    base = str(tmp_path / "table")
+    sizes = []
+
+    def load(rows):
+        sizes.append(max(r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()))
+        return records.ingest_traces(rows)
+
+    topic = MonthlyTopic(base, "traces", load, ("trace_id",))
+    for number in range(2):
+        lines = [_trace(i, 10 + i % 2 * 31) for i in range(number * 15, number * 15 + 29)] + ["[1]"]
+        topic.write(spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1), number)
+    assert max(sizes) <= most
+    got = [r.trace_id for r in spark.read.parquet(f"{base}/rows").collect()]
+    assert sorted(got) == sorted(f"t{i}" for i in range(44))
+    assert spark.read.parquet(f"{base}/bad").count() == 2
+
+
 def test_monthly_topic_without_keys(spark, tmp_path):
     topic = MonthlyTopic(str(tmp_path / "table"), "traces", records.ingest_traces)
     lines = [_trace(1, 10, input="x"), _trace(1, 10, input="y"), _trace(1, 10, input="x")]

@@ -576,8 +576,11 @@ def gpt_usage_enriched(spark, sf_dir):
 
 
 def _in_batches(spark: SparkSession, rows: DataFrame, path: str, mode: str = "errorifexists") -> DataFrame:
-    """Rows as a stream of several micro-batches, by way of stored files."""
-    rows.write.mode(mode).parquet(path)
+    """Rows as a stream of several micro-batches, by way of stored files.
+
+    A micro-batch is one file; its row groups are small, so that several tasks read it.
+    """
+    rows.write.mode(mode).option("parquet.block.size", 2 << 20).parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 

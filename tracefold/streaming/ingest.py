@@ -22,6 +22,19 @@ from tracefold.streaming.batches import found, last_commit, read_batches, run_ba
 
 # How often a topic is polled in continuous running.
 POLL = "5 seconds"
+#: Records of a batch that one task parses.
+RECORDS = 50_000
+
+
+def dealt(batch: DataFrame) -> DataFrame:
+    """A batch in even parts of RECORDS records at most.
+
+    A source gives a batch in as many parts as it has files or partitions, one
+    perhaps, while parsing is what takes the time. The parts are kept, as filters
+    would else move below the exchange and parse in the source's parts.
+    """
+    parts = -(-batch.count() // RECORDS)
+    return batch.repartition(parts).persist() if parts > 1 else batch
 
 
 def with_rows(
@@ -33,11 +46,13 @@ def with_rows(
     flatten: bool = True,
 ) -> None:
     """Call `use` with a batch's rows and its bad records; `schema` sets aside records with unfit values."""
-    batch = batch.persist()
+    parts = batch = batch.persist()
     try:
-        good, bad = split_records(batch, tombstones, schema, flatten)
+        parts = dealt(batch)
+        good, bad = split_records(parts, tombstones, schema, flatten)
         use(load(good), bad)
     finally:
+        parts.unpersist()
         batch.unpersist()
 
 
@@ -120,12 +135,16 @@ class MonthlyTopic:
     def write(self, batch: DataFrame, batch_id: int) -> None:
         def store(rows: DataFrame, bad: DataFrame) -> None:
             write_batch(bad, f"{self.base}/bad", batch_id)
-            new = self._new(with_month(rows, schemas.LAYOUT[self.table][1]), batch_id)
-            new = new.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-            new = new.hint("rebalance", "yyyymm", self._order[0]).sortWithinPartitions("yyyymm", *self._order)
-            new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("yyyymm", "batch_id").parquet(
-                f"{self.base}/rows"
-            )
+            rows = with_month(rows, schemas.LAYOUT[self.table][1])
+            keyed = rows.select("*", *self._hashes(rows)).persist()  # parsed once
+            try:
+                new = self._new(keyed, batch_id).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+                new = new.hint("rebalance", "yyyymm", self._order[0]).sortWithinPartitions("yyyymm", *self._order)
+                new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("yyyymm", "batch_id").parquet(
+                    f"{self.base}/rows"
+                )
+            finally:
+                keyed.unpersist()
 
         with_rows(batch, self.load, False, store, self.schema, self.flatten)
 
@@ -138,15 +157,16 @@ class MonthlyTopic:
         own = lambda *seed: F.when(blank, F.xxhash64(*seed, F.lit(1), *everything)).otherwise(F.xxhash64(*seed, *named))
         return [own(F.lit(3)).alias(KEYS[0]), own(F.lit(7)).alias(KEYS[1])]
 
-    def _new(self, rows: DataFrame, batch_id: int) -> DataFrame:
-        """The rows that no earlier batch has brought, each once."""
-        once = rows.select("*", *self._hashes(rows)).dropDuplicates(KEYS)
-        months = [r.yyyymm for r in rows.select("yyyymm").distinct().collect()]  # of one batch
-        stored = self._stored(rows.sparkSession, months, batch_id - 1)
+    def _new(self, keyed: DataFrame, batch_id: int) -> DataFrame:
+        """The rows that no earlier batch has brought, each once; `keyed` has their hashes."""
+        once = keyed.dropDuplicates(KEYS)
+        months = [r.yyyymm for r in keyed.select("yyyymm").distinct().collect()]  # of one batch
+        stored = self._stored(keyed.sparkSession, months, batch_id - 1)
         if stored is None:
             return once
-        known = stored.select(*KEYS).join(once.select(*KEYS), KEYS, "left_semi").distinct()
-        return once.join(known, KEYS, "left_anti")
+        known = stored.select(*KEYS).join(keyed.select(*KEYS).distinct(), KEYS, "left_semi").distinct()
+        # Hinted, as known keys may be as many as the batch's rows; these lie by key already.
+        return once.join(known.hint("merge"), KEYS, "left_anti")
 
     def _merged(self, spark: SparkSession) -> dict[int | None, int]:
         """The last batch folded, by month."""
