@@ -322,3 +322,21 @@ def test_neighbours_recall(spark):
     few = neighbours.nearest(df.where("vec_id < 4"), F.col("vec_id") == 0).collect()
     assert {r.vec_id for r in few} == {1, 2, 3}
     assert neighbours.nearest(df.limit(0), F.col("vec_id") == 0).count() == 0
+
+
+def test_keys_are_compiled_and_wide_code_points_meet(spark):
+    """The JVM compiles methods up to 8,000 bytes; an edit beside code points beyond 16 bits is found."""
+    import re
+
+    from pyspark.sql import functions as F
+    from tracefold.llm import linededup
+
+    lines = ["\U0001f600 " * 20 + "the same end of a line", "\U0001f600 " * 20 + "the same end of a lime", "none of it is like the others"]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    made = linededup.keys(df.select(F.xxhash64("line").alias("id"), "line"), linededup.TAU, linededup.PER_EDIT)
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    sizes = re.findall(r"maxMethodCodeSize:(\d+)", made._jdf.queryExecution().explainString(mode))
+    assert sizes and max(map(int, sizes)) < 8000
+    of = {r[1]: r[0] for r in df.select("line", F.xxhash64("line")).collect()}
+    got = {(of[r.id], of[r.other]) for r in linededup.links(df).collect()}
+    assert got == {(lines[0], lines[1]), (lines[1], lines[0])}

@@ -61,32 +61,39 @@ def segments(base: Column, longer: Column, parts: int) -> list[tuple[Column, Col
 def keys(found: DataFrame, tau: int, per_edit: int) -> DataFrame:
     """(id, k) from (id, line): hashes of the line's own segments, odd, and of the substrings it probes with, even.
 
-    The line is cut in UTF-32: four bytes a code point, so that a substring is found
-    by its place and not by reading the line from its start.
+    The line is cut in UTF-16, two bytes a code point, so that a substring is found by its
+    place and not by reading the line from its start. Code points that take four count as
+    one that takes two: keys may then meet more often, never less, and what meets is verified.
 
     A probe for length n - d and segment i starts within i edits of the segment's
     start on the left, and within `edits - i` edits of it, shifted by d, on the right:
     no alignment needs others. A line's own segments serve as probes too.
     """
     n = F.char_length("line")
-    cut = found.select("id", F.encode("line", "UTF-32").alias("chars"), n.alias("n"))
-    # Numbers that many keys share are columns of their own: inside conditions nothing is shared.
+    cut = found.select("id", "line", F.encode("line", "UTF-16BE").alias("chars"), n.alias("n"))
+    narrow = F.encode(F.regexp_replace("line", "[\\x{10000}-\\x{10FFFF}]", "\ufffd"), "UTF-16BE")
+    cut = cut.select("id", F.when(F.length("chars") > F.col("n") * 2, narrow).otherwise(F.col("chars")).alias("chars"), "n")
+    # Numbers that several keys share are columns of their own: inside conditions nothing is
+    # shared, and a method beyond 8,000 bytes of bytecode is not compiled by the JVM.
     numbers = {f"e{d}": F.least(F.lit(tau), F.expr(f"cast((n - {d}) div {per_edit} as int)")) for d in range(tau + 1)}
     for d in range(tau + 1):
-        for parts in range(2, tau + 2):
-            numbers[f"b{d}_{parts}"] = F.expr(f"cast((n - {d}) div {parts} as int)")
-            numbers[f"r{d}_{parts}"] = F.expr(f"cast((n - {d}) % {parts} as int)")
-    cut = cut.select("id", "chars", "n", *(column.alias(name) for name, column in numbers.items()))
+        for i in range(tau + 1):
+            numbers[f"m{d}_{i}"] = (F.col("n") - d) * (tau + 1) + i
+        for parts in range(max(2, d + 1), tau + 2):
+            base, longer = F.expr(f"cast((n - {d}) div {parts} as int)"), F.expr(f"cast((n - {d}) % {parts} as int)")
+            for i, (start, size) in enumerate(segments(base, longer, parts)):
+                numbers[f"s{d}_{parts}_{i}"], numbers[f"z{d}_{parts}_{i}"] = start * 2, size * 2
+    cut = cut.select("id", "chars", *(column.alias(name) for name, column in numbers.items()))
     none = F.array().cast("array<bigint>")
     out = [none]
     for edits in range(1, tau + 1):
         for d in range(edits + 1):
             made, parts = [], edits + 1
-            for i, (start, size) in enumerate(segments(F.col(f"b{d}_{parts}"), F.col(f"r{d}_{parts}"), parts)):
+            for i in range(parts):
                 low, high = max(-i, d - (edits - i)), min(i, d + (edits - i))
                 for shift in range(low, high + 1):
-                    part = F.substring("chars", (start + (shift - 1)) * 4 + 1, size * 4)
-                    key = F.shiftleft(F.xxhash64(F.col("n") - d, F.lit(i), part), 1)
+                    part = F.substring("chars", F.col(f"s{d}_{parts}_{i}") + (2 * shift - 1), F.col(f"z{d}_{parts}_{i}"))
+                    key = F.shiftleft(F.xxhash64(f"m{d}_{i}", part), 1)
                     made.append(key + F.lit(int(d == 0 and shift == 0)).cast("long"))
             out.append(F.when(F.col(f"e{d}") == edits, F.array(*made)).otherwise(none))
     return cut.select("id", F.explode(F.concat(*out)).alias("k"))
